@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rangeloom.llm import mixing, packing, percentiles
+from rangeloom.llm import mixing, packing, percentiles, residue
 from rangeloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,7 +41,19 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(mixing.mixed(table(spark, sf_dir, "documents"), target), target)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_percentiles, p2_merged, p6_found, p6_containers, p6_fill, p7_mixture, p7_shares)}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.found_documents(table(spark, sf_dir, "documents"))
+
+
+def p8_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue(table(spark, sf_dir, "documents"))
+
+
+def p8_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.clean_documents(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "n_chars")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_percentiles, p2_merged, p6_found, p6_containers, p6_fill, p7_mixture, p7_shares, p8_found, p8_residue, p8_clean)}
 
 ORACLE_SQL: dict[str, str] = {
     "p2_percentiles": percentiles.percentiles_sql(),
