@@ -25,9 +25,10 @@ SEP = rf"[^{_PLAIN}{_BLANK}\"']"
 QUOTED = r'"[^"\\]*+(?:(?:\\[\s\S]|"")[^"\\]*+)*+"' "|" r"'[^'\\]*+(?:(?:\\[\s\S]|'')[^'\\]*+)*+'"
 
 LABEL = rf"^{WS}*[\p{{L}}_]{WORD}*{WS}*:"
-NOTE = rf"{WS}*:?{WS}*OOB{WS}*\([^()]*\){WS}*$"
+# possessive, and begun only where white space begins, so that long fields stay linear
+NOTE = rf"(?<!{WS}){WS}*+:?{WS}*+OOB{WS}*+\([^()]*+\){WS}*+$"
 OPEN = rf"^{WS}*[\[({{<]"
-CLOSE = rf"[\])}}>]{WS}*$"
+CLOSE = rf"[\])}}>]{WS}*+$"
 
 #: Masks in a skeleton. They are private characters; the same characters in the data are taken for separators.
 _QUOTE_MASK, _WORD_MASK, _OTHER = map(chr, (0xE000, 0xE001, 0xE002))
@@ -104,8 +105,8 @@ def split_by_rule(text: Column, label: Column, note: Column, bracket: Column, ho
     body = F.when(label, F.regexp_replace(body, LABEL, "")).otherwise(body)
     body = F.when(bracket, F.regexp_replace(F.regexp_replace(body, OPEN, ""), CLOSE, "")).otherwise(body)
     # separators at the end give no place; one may stand before the first value
-    body = F.regexp_replace(F.regexp_replace(body, rf"[^{_PLAIN}\"']+$", ""), f"^{WS}*(?:{SEP}{WS}*)?", "")
-    gap = f"{WS}*{SEP}{WS}*|{WS}+"
+    body = F.regexp_replace(F.regexp_replace(body, rf"(?<=[{_PLAIN}\"'])[^{_PLAIN}\"']++$", ""), f"^{WS}*(?:{SEP}{WS}*)?", "")
+    gap = f"{WS}*+{SEP}{WS}*+|{WS}++"
     # a quoted value may touch the next one; a quote that is never closed separates
     touch = rf"(?<=[{_PLAIN}\"'])(?=[{_PLAIN}\"'])"
     places = F.regexp_extract_all(F.concat(body, F.lit("\n")), F.lit(rf"({QUOTED}|{WORD}+|)(?:{gap}|{touch}|[\"'])"), F.lit(1))
