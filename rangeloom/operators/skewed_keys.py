@@ -182,7 +182,8 @@ def heavy_keys(df: DataFrame, group_col: str, int_cols: list[str], float_cols: l
 def heavy_particles(particle_mem: DataFrame, share: float = 0.05) -> DataFrame:
     """``heavy_keys`` of the shuffle destinations and indexed properties by epoch: epoch, field, key_val.
 
-    key_val is the destination (-1 is one like others), or the property times 1,000,000, rounded.
+    key_val is the destination (-1 is one like others), or the property times 1,000,000, rounded;
+    beyond what a bigint holds it is the largest or least that it does.
     """
     found = heavy_keys(particle_mem, "epoch", ["shuffle_dest"], ["indexed_prop"], share)
 

@@ -103,10 +103,10 @@ def first_n_per_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{_FIRST}, keys AS (SELECT DISTINCT epoch, "rank", key FROM seq WHERE seq <= {SAMPLE}),
 q AS (SELECT epoch, "rank", quantile_cont(CAST(key AS DOUBLE), [{_steps(PIVOTS)}]) AS p, count(*) AS n, max(CAST(key AS DOUBLE)) AS m FROM keys GROUP BY 1, 2),
 r AS (SELECT epoch, "rank", CAST(unnest(range({PIVOTS})) AS INTEGER) AS k, unnest(p) AS pivot, m, n FROM q)
-SELECT epoch, "rank", k, round(CASE WHEN k = {PIVOTS - 1} THEN m + pow(2, floor(log2(m)) - 23) ELSE \"pivot\" END, 3) AS pivot, round(CAST(n AS DOUBLE) / {PIVOTS - 1}, 6) AS weight FROM r""")
+SELECT epoch, "rank", k, round(CASE WHEN k = {PIVOTS - 1} THEN m + pow(2, floor(log2(m)) - 23) ELSE \"pivot\" END + 1e-5, 3) AS pivot, round(CAST(n AS DOUBLE) / {PIVOTS - 1}, 6) AS weight FROM r""")
 def first_n_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     sets = pivots.first_pivots(line_particles(spark, sf_dir), "key", PIVOTS, SAMPLE, ["epoch", "rank"], ARRIVAL)
-    return sets.select("epoch", "rank", F.posexplode("pivots").alias("k", "pivot"), "weight").select("epoch", "rank", "k", F.round("pivot", 3).alias("pivot"), F.round("weight", 6).alias("weight"))
+    return sets.select("epoch", "rank", F.posexplode("pivots").alias("k", "pivot"), "weight").select("epoch", "rank", "k", F.round(F.col("pivot") + 1e-5, 3).alias("pivot"), F.round("weight", 6).alias("weight"))
 
 
 @query()
