@@ -14,8 +14,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rangeloom.config import materialize
+
 _BLANK = r"\x09-\x0d\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-_PLAIN = r"\p{L}\p{Nd}_+\-."
+_PLAIN = r"0-9A-Za-z_+\-.\p{L}\p{Nd}"
 #: White space, the same in every engine.
 WS = f"[{_BLANK}]"
 #: What an unquoted value consists of.
@@ -131,11 +133,11 @@ def explode_packed(df: DataFrame, value_col: str, keep: Sequence[str], pos_name:
     if clash := names & set(keep):
         raise ValueError(f"kept columns clash with the result's: {sorted(clash)}")
     base = df.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{value_col}`").cast("string").alias("text"))
-    # one value without separators needs no rule
-    packed = base.filter(F.col("text").rlike(f"[^{_PLAIN}]")).withColumn("skeleton", skeleton(F.col("text")))
-    distinct = packed.select("skeleton").distinct()
-    resolved = rules(distinct).filter(F.col("how") != "one")
-    size = distinct.agg(F.count("*").alias("n"), F.sum(F.length("skeleton")).alias("chars")).first()
+    # one value without separators needs no rule; the skeleton is not null, so that the join doesn't make it twice to see
+    packed = base.filter(F.col("text").rlike(f"[^{_PLAIN}]")).withColumn("skeleton", F.coalesce(skeleton(F.col("text")), F.lit("")))
+    # as a table: else Spark carries what the rules say of a skeleton over to every record
+    resolved = materialize(rules(packed.select("skeleton").distinct())).filter(F.col("how") != "one")
+    size = resolved.agg(F.count("*").alias("n"), F.sum(F.length("skeleton")).alias("chars")).first()
     if size["n"] <= MAX_BROADCAST_SKELETONS and (size["chars"] or 0) <= MAX_BROADCAST_CHARS:
         resolved = F.broadcast(resolved)
     cut = packed.join(resolved, "skeleton").select(
