@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rangeloom.config import materialize
 from rangeloom.operators import archives, log_entries, packed_fields, skewed_keys
 from rangeloom.sources.tables import table
 
@@ -22,7 +23,9 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_dest_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = skewed_keys.once(table(spark, sf_dir, "particle_mem"))
+    needed = table(spark, sf_dir, "particle_mem").select("epoch", "src_rank", "seq", "arrived_ts", "shuffle_dest", "buf_sz")
+    # read several times
+    records = materialize(skewed_keys.once(needed).select("epoch", "shuffle_dest", "buf_sz"))
     totals = skewed_keys.key_totals(records, "epoch", "shuffle_dest", "buf_sz")
     return totals.select(F.col("grp").cast("int").alias("epoch"), F.col("key").cast("int").alias("shuffle_dest"), F.col("n").alias("n_records"), F.col("total").alias("bytes"))
 
