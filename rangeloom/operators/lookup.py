@@ -80,9 +80,16 @@ def range_ranks(edges: Sequence[float], lo: float, hi: float) -> list[int]:
     return [i for i in range(n) if (i == 0 or edges[i] < hi) and (i == n - 1 or edges[i + 1] > lo) and lo < hi]
 
 
-def range_scan(data: DataFrame, key: str, lo: float, hi: float, edges: Sequence[float] | None = None) -> DataFrame:
-    """Records with lo <= key < hi; with the edges of a range store only the ranks that may hold them are read."""
+def range_scan(data: DataFrame, key: str, lo: float, hi: float, edges: Sequence[float] | None = None, source: str | None = None) -> DataFrame:
+    """Records with lo <= key < hi; with the edges of a range store only the ranks that may hold them are read.
+
+    ``source`` names the column of doubles that the key was narrowed from: a filter on it, wider by the narrowing, reaches
+    the Parquet scan, which a filter on the narrowed key does not.
+    """
     kept = data if edges is None else data.filter(F.col("rank").isin(range_ranks(edges, lo, hi)))
+    if source is not None:
+        room = 2.0**-22
+        kept = kept.filter((F.col(source) >= lo - abs(lo) * room - 1e-38) & (F.col(source) <= hi + abs(hi) * room + 1e-38))
     return kept.filter((F.col(key) >= lo) & (F.col(key) < hi))
 
 

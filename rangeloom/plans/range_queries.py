@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from rangeloom.config import shared_dir
 from rangeloom.functions import edges as E
+from rangeloom.functions import records
 from rangeloom.functions import scalar as S
 from rangeloom.operators import balance, histograms, lookup, metrics, pivots, placement, sampling, stores
 from rangeloom.sources import generate, traces
@@ -213,6 +214,18 @@ def calc_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(k, float(p), weight) for k, p in enumerate(found)], "k int, pivot double, weight double")
 
 
+@query(f"WITH {LINE_SQL}, {_HIST} SELECT CAST(bin AS INTEGER) AS bin, any_value(lo) AS lo, any_value(hi) AS hi, sum(w) + 1.0 AS w FROM hist GROUP BY bin")
+def fill_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.fill_bins(pivots.bins_from_arrays(spark, EDGES, [1.0] * 8), line_particles(spark, sf_dir), "key", EDGES)
+
+
+@query(f"WITH {LINE_SQL}, {_SETS}, w AS (SELECT epoch, min(lo) AS a, max(hi) AS b FROM merged GROUP BY epoch) SELECT n.epoch, n.a <= o.a + 1e-3 AND n.b >= o.b - 1e-3 AS widened FROM w n JOIN w o ON o.epoch = n.epoch - 1")
+def widened_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    merged = pivots.resample(_rank_sets(spark, sf_dir), 9, ["epoch"]).select("epoch", "pivots")
+    earlier = merged.select((F.col("epoch") + 1).alias("epoch"), F.col("pivots").alias("old"))
+    return merged.join(earlier, "epoch").select("epoch", pivots.widened(F.col("old"), F.col("pivots")).alias("widened"))
+
+
 # placement
 
 
@@ -319,7 +332,7 @@ _SCAN = f"WITH {LINE_SQL} SELECT epoch, name, key FROM line WHERE key >= 42000 A
 
 @query(_SCAN)
 def range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookup.range_scan(line_particles(spark, sf_dir), "key", 42000.0, 47000.0).select("epoch", "name", "key")
+    return lookup.range_scan(line_particles(spark, sf_dir), "key", 42000.0, 47000.0, source="l_extendedprice").select("epoch", "name", "key")
 
 
 @query(_SCAN)
@@ -416,6 +429,17 @@ def derived_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return full.select("epoch", "writes", "bytes", *[F.round(c, 6).alias(c) for c in ("write_per_s", "s_per_write", "write_per_rank_s", "index_pct")])
 
 
+@query(f"WITH {EVENT_SQL} SELECT CAST(epoch_us(ts) // 1000 AS BIGINT) AS ts_ms, event_type AS stat_type, props AS stat_value FROM event")
+def perf_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp")))
+    return metrics.perf_rows(events, "ms", "event_type", "props")
+
+
+@query("SELECT event_id, hex(encode(CAST(event_id AS VARCHAR) || props) || unhex(repeat('00', 32 - strlen(CAST(event_id AS VARCHAR) || props)))) AS record FROM events")
+def packed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", F.hex(records.pack_record(F.col("event_id").cast("string"), F.col("props"), 32)).alias("record"))
+
+
 @query("SELECT CAST(l_linenumber AS INTEGER) AS l_linenumber, CAST(floor(min((l_tax + l_discount) / nullif(l_quantity, 0) * 100)) AS BIGINT) AS min_cpu, CAST(ceil(max((l_tax + l_discount) / nullif(l_quantity, 0) * 100)) AS BIGINT) AS max_cpu FROM lineitem GROUP BY 1")
 def cpu_use(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.cpu_use(table(spark, sf_dir, "lineitem"), "l_tax", "l_discount", "l_quantity", ["l_linenumber"])
