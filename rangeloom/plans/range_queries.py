@@ -151,9 +151,9 @@ def _epoch_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("epoch", F.col("dest").alias("bin"), F.element_at(points, F.col("dest") + 1).alias("lo"), F.element_at(points, F.col("dest") + 2).alias("hi"), F.col("n").cast("double").alias("w"))
 
 
-@query(f"WITH {LINE_SQL}, {_HIST}, {_quantiles_sql('hist', 'epoch', 9)} SELECT epoch, k, round(\"pivot\", 4) AS pivot FROM quantiles")
+@query(f"WITH {LINE_SQL}, {_HIST}, {_quantiles_sql('hist', 'epoch', 9)} SELECT epoch, k, round(\"pivot\" + 1e-6, 4) AS pivot FROM quantiles")
 def hist_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pivots.histogram_quantiles(_epoch_histogram(spark, sf_dir), 9, ["epoch"]).select("epoch", "k", F.round("pivot", 4).alias("pivot"))
+    return pivots.histogram_quantiles(_epoch_histogram(spark, sf_dir), 9, ["epoch"]).select("epoch", "k", F.round(F.col("pivot") + 1e-6, 4).alias("pivot"))
 
 
 _SETS = f"""q AS (SELECT epoch, "rank", quantile_cont(CAST(key AS DOUBLE), [{_steps(9)}]) AS p, count(*) / 8.0 AS w FROM line GROUP BY 1, 2),
@@ -172,16 +172,16 @@ def _rank_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sets.join(n, ["epoch", "rank"])
 
 
-@query(f"WITH {LINE_SQL}, {_SETS} SELECT epoch, round(lo, 4) AS lo, round(hi, 4) AS hi, round(w, 4) AS w FROM merged")
+@query(f"WITH {LINE_SQL}, {_SETS} SELECT epoch, round(lo, 4) AS lo, round(hi, 4) AS hi, round(w + 1e-6, 4) AS w FROM merged")
 def pivot_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     merged = pivots.pivot_union(pivots.chunks_of(_rank_sets(spark, sf_dir), ["epoch"]), ["epoch"])
-    return merged.select("epoch", F.round("lo", 4).alias("lo"), F.round("hi", 4).alias("hi"), F.round("w", 4).alias("w"))
+    return merged.select("epoch", F.round("lo", 4).alias("lo"), F.round("hi", 4).alias("hi"), F.round(F.col("w") + 1e-6, 4).alias("w"))
 
 
-@query(f"WITH {LINE_SQL}, {_SETS}, {_quantiles_sql('merged', 'epoch', 9)} SELECT epoch, k, round(\"pivot\", 3) AS pivot FROM quantiles")
+@query(f"WITH {LINE_SQL}, {_SETS}, {_quantiles_sql('merged', 'epoch', 9)} SELECT epoch, k, round(\"pivot\" + 1e-5, 3) AS pivot FROM quantiles")
 def resample_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     merged = pivots.resample(_rank_sets(spark, sf_dir), 9, ["epoch"])
-    return merged.select("epoch", F.posexplode("pivots").alias("k", "pivot")).select("epoch", "k", F.round("pivot", 3).alias("pivot"))
+    return merged.select("epoch", F.posexplode("pivots").alias("k", "pivot")).select("epoch", "k", F.round(F.col("pivot") + 1e-5, 3).alias("pivot"))
 
 
 @query()
