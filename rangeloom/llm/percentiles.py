@@ -178,9 +178,12 @@ def all_percentiles(particle_mem: DataFrame, bounds: DataFrame, probs: Sequence[
 
 
 def merged_percentiles(particle_mem: DataFrame, bounds: DataFrame, probs: Sequence[float] = PROBS) -> DataFrame:
-    """The run's percentiles from the merged sketches of its epochs alone, with the bounds between which they lie."""
+    """The run's percentiles from the merged sketches of its epochs alone, with the bounds between which they lie.
+
+    A merged sketch has at most 2**bits rows, however many values there are.
+    """
     parts = []
-    for field, codes, width, bits in (("indexed_prop", property_codes(particle_mem), 32, 24), ("b_value", bound_codes(bounds), 64, 32)):
+    for field, codes, width, bits in (("indexed_prop", property_codes(particle_mem), 32, 20), ("b_value", bound_codes(bounds), 64, 22)):
         parts.append(_named(sketch_percentiles(merge(sketch(codes, ["epoch"], width, bits)), [], width, probs, bits), field, None))
     return reduce(DataFrame.unionByName, parts)
 
