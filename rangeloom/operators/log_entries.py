@@ -112,6 +112,8 @@ def entries(lines: DataFrame) -> DataFrame:
     both = F.when(F.col("line_no") % BLOCK_LINES == 0, F.array(block, block - 1)).otherwise(F.array(block))
     once = (
         sent.select("log_file", F.explode(both).alias("block"), "line_no", "text", opened.alias("opened"))
+        # by block at once, so that the window below needs no second shuffle of the texts
+        .repartition("log_file", "block")
         .groupBy("log_file", "block", "line_no")
         .agg(F.min("text").alias("text"), F.min("opened").alias("opened"))
     )
