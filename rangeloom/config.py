@@ -104,6 +104,12 @@ def shared_dir(spark: SparkSession) -> str:
     return given
 
 
+def clean(spark: SparkSession) -> None:
+    """Remove the tables that this library wrote to the shared folder; no result that reads them may be in use."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/rangeloom")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, partition_by: Iterable[str] = ()) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: a cut in the lineage that survives lost executors."""
     spark = df.sparkSession

@@ -2,26 +2,23 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import FloatType
 
 
 def key_at(data: Column, offset: int) -> Column:
     """The 32-bit little-endian float that begins ``offset`` bytes into the data; null where the data ends before it does."""
-
-    @F.pandas_udf(FloatType())
-    def read(values: pd.Series) -> pd.Series:
-        fit = values.map(lambda b: b is not None and len(b) >= offset + 4)
-        out = pd.Series(np.nan, index=values.index, dtype="object")
-        if fit.any():
-            out[fit] = np.frombuffer(b"".join(bytes(b[offset : offset + 4]) for b in values[fit]), "<f4").astype(object)
-        out[~fit] = None
-        return out
-
-    return read(data)
+    digits = F.hex(F.substring(data, offset + 1, 4))
+    bits = F.conv(F.concat(*[F.substring(digits, k, 2) for k in (7, 5, 3, 1)]), 16, 10).cast("bigint")
+    sign = F.when(bits >= 1 << 31, F.lit(-1.0)).otherwise(1.0)
+    exponent, mantissa = F.shiftright(bits, 23).bitwiseAND(F.lit(255)), bits.bitwiseAND(F.lit((1 << 23) - 1))
+    value = (
+        F.when((exponent == 255) & (mantissa > 0), F.lit(float("nan")))
+        .when(exponent == 255, sign * F.lit(float("inf")))
+        .when(exponent == 0, sign * mantissa * F.lit(2.0**-149))
+        .otherwise(sign * (mantissa + F.lit(1 << 23)) * F.pow(F.lit(2.0), exponent - 150))
+    )
+    return F.when(F.octet_length(data) >= offset + 4, value.cast("float"))
 
 
 def pack_record(key: Column, value: Column, size: int) -> Column:

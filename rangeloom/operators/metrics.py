@@ -69,15 +69,23 @@ def first_to_arrive(df: DataFrame, at: str, rank: str, by: Sequence[str]) -> Dat
 
 
 def latency_summary(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
-    """by, n, avg, median (the lower one of an even number), min, max, total. Null values do not count."""
-    # the lower median is the value at 0.5 of the discrete distribution, kept as counts of distinct values
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    group = Window.partitionBy(*by)
-    upto = F.sum("_n").over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    placed = counts.withColumns({"_upto": upto, "_all": F.sum("_n").over(group)})
-    median = F.min(F.when(F.col("_upto") > F.floor((F.col("_all") - 1) / 2), F.col(value)))
-    total = F.sum(F.col(value) * F.col("_n"))
-    return placed.groupBy(*by).agg(F.sum("_n").alias("n"), (total / F.sum("_n")).alias("avg"), median.alias("median"), F.min(value).alias("min"), F.max(value).alias("max"), total.alias("total"))
+    """by, n, avg, median (the lower one of an even number), min, max, total. Null values do not count.
+
+    The median is exact: its neighbourhood is found by an approximate percentile, and only the values within are counted
+    one by one, so no group's values have to be in one place.
+    """
+    clean = df.select(*by, F.col(value).alias("_v")).filter("_v IS NOT NULL")
+    rough = clean.groupBy(*by).agg(
+        F.count("*").alias("n"), F.avg("_v").alias("avg"), F.min("_v").alias("min"), F.max("_v").alias("max"), F.sum("_v").alias("total"), F.percentile_approx("_v", [0.49, 0.51], 1000).alias("_p")
+    )
+    ends = rough.select(*by, "n", F.col("_p")[0].alias("_low"), F.col("_p")[1].alias("_high"))
+    near = clean.join(F.broadcast(ends), list(by))
+    # what lies below is counted together, as null
+    kept = near.filter(F.col("_v") <= F.col("_high")).select(*by, "n", F.when(F.col("_v") < F.col("_low"), None).otherwise(F.col("_v")).alias("_v"))
+    counts = kept.groupBy(*by, "n", "_v").agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*by).orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    median = counts.withColumn("_upto", upto).filter(F.col("_upto") > F.floor((F.col("n") - 1) / 2)).groupBy(*by).agg(F.min("_v").alias("median"))
+    return rough.join(F.broadcast(median), list(by)).select(*by, "n", "avg", "median", "min", "max", "total")
 
 
 def round_summary(df: DataFrame, micros: str, by: Sequence[str] = ()) -> DataFrame:

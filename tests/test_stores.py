@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rangeloom.config import RunConfig, shared_dir
+from rangeloom.config import RunConfig, clean, materialize, shared_dir
 from rangeloom.functions import records
 from rangeloom.functions import scalar as S
 from rangeloom.operators import histograms, lookup, metrics, sampling, stores
@@ -166,6 +166,10 @@ def test_monitoring(spark):
     assert {r["rank"]: r["collisions"] for r in metrics.collisions(df).collect()} == {0: 1, 1: 0}
     got = metrics.latency_summary(df, "v", ["epoch"]).first()
     assert (got["n"], got["avg"], got["median"], got["min"], got["max"], got["total"]) == (4, 3.75, 2, 1, 7, 15)
+    many = spark.range(20001).select((F.col("id") % 2).alias("g"), ((F.col("id") * 7919) % 20001).alias("v"))
+    for r in metrics.latency_summary(many, "v", ["g"]).collect():
+        mine = sorted(x["v"] for x in many.filter(F.col("g") == r["g"]).collect())
+        assert (r["median"], r["n"]) == (mine[(len(mine) - 1) // 2], len(mine))
     cum = spark.createDataFrame([(0, 1, 5), (0, 2, 9), (0, 3, 9)], "rank int, epoch int, w int")
     assert [r["d_w"] for r in metrics.epoch_deltas(cum, ["w"]).orderBy("epoch").collect()] == [5, 4, 0]
     checks = spark.createDataFrame([(1, 1, 2, 3, 3, 3, 3), (2, 1, 1, 3, 3, 3, 3), (3, 1, 2, 3, 3, 2, 3), (4, 1, 2, 3, 3, None, 3)], "epoch int, local int, foreign int, writes int, sent int, delivered int, received int")
@@ -183,6 +187,9 @@ def test_ids_names_and_records(spark):
     for r in rows:
         assert r["n"] == base64.b64encode(((r["r"] << 28) | r["i"]).to_bytes(8, "little")[:6]).decode()
         assert r["w"] == base64.b64encode(((r["r"] << 32) | r["i"]).to_bytes(8, "little")).decode().rstrip("=")
+    odd = np.array([1.5, -1.5, 0.0, -0.0, 1e-45, -1e-40, 3.4e38, np.inf, -np.inf, np.nan, 0.1, 123456.789], np.float32)
+    back = spark.createDataFrame([(i, bytearray(b"?" + x.tobytes())) for i, x in enumerate(odd)], "i int, d binary").select("i", records.key_at(F.col("d"), 1).alias("k")).orderBy("i").collect()
+    assert np.array_equal(np.array([r["k"] for r in back], np.float32), odd, equal_nan=True)
     data = spark.createDataFrame([(bytearray(b"xx" + np.float32(1.5).tobytes() + b"y"),), (bytearray(b"xx"),), (None,)], "d binary")
     assert [r["k"] for r in data.select(records.key_at(F.col("d"), 2).alias("k")).collect()] == [1.5, None, None]
     packed = spark.createDataFrame([(bytearray(b"ab"), bytearray(b"\x80c"))], "k binary, v binary").select(records.pack_record(F.col("k"), F.col("v"), 6).alias("p")).first()["p"]
@@ -261,3 +268,12 @@ def test_config(spark):
         with pytest.raises(ValueError):
             RunConfig(**bad)
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_written_tables_and_their_removal(spark):
+    df = materialize(spark.range(10).withColumn("x", F.col("id") * 2))
+    assert df.filter("x = 8").first()["id"] == 4
+    folder = shared_dir(spark).removeprefix("file://") + "/rangeloom"
+    assert os.path.isdir(folder)
+    clean(spark)
+    assert not os.path.exists(folder)
