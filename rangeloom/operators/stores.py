@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 from rangeloom.functions.scalar import hash_rank
 from rangeloom.operators.placement import place_by_hash, place_by_range
 
-#: The keys of a manifest, in the order in which they are written.
+# The keys of a manifest, in the order in which they are written.
 MANIFEST_KEYS = (
-    "num_epochs", "key_size", "value_size", "filter_bits_per_key", "memtable_size", "lg_parts", "skip_checksums", "bypass_shuffle",
-    "force_leveldb_format", "unordered_storage", "io_engine", "comm_sz", "particle_id_size", "particle_size", "num_names", "sample_threshold",
+    "num_epochs", "key_size", "value_size", "filter_bits_per_key", "memtable_size", "lg_parts", "skip_checksums", "bypass_shuffle", "force_leveldb_format",
+    "unordered_storage", "particle_id_size", "particle_size", "filename_size", "filedata_size", "io_engine", "comm_sz",
 )
 
 

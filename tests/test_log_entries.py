@@ -26,13 +26,13 @@ LINES = [
     ("2023-03-01T14:41:57Z [rtp] text", at("2023-03-01T14:41:57+00:00"), "NONE", "rtp", "text"),
     ("[2023-03-01 00:57:08.096] -INFO- reader.probe: text: more", at("2023-03-01T00:57:08.096+00:00"), "INFO", "reader.probe", "text: more"),
     ("[2023-03-01 00:57:08.096] !!! FATAL !!! state dump [rank 3]: follows", at("2023-03-01T00:57:08.096+00:00"), "FATAL", "", "state dump [rank 3]: follows"),
-    ("[2023-03-01 00:57:08.096] carp: text", at("2023-03-01T00:57:08.096+00:00"), "NONE", "carp", "text"),
+    ("[2023-03-01 00:57:08.096] mover: text", at("2023-03-01T00:57:08.096+00:00"), "NONE", "mover", "text"),
     ("E0301 01:11:16.633944  9012 bins] text", at("2023-03-01T01:11:16.633+00:00"), "ERROR", "bins", "text"),
     ("Mar  1 00:40:54 cn-0015 bins[9803]: info: text", at("2023-03-01T00:40:54+00:00"), "INFO", "bins", "text"),
-    ("Dec 31 23:59:59 cn-0015 carp[2073]: <CRIT> text", at("2023-12-31T23:59:59+00:00"), "FATAL", "carp", "text"),
+    ("Dec 31 23:59:59 cn-0015 mover[2073]: <CRIT> text", at("2023-12-31T23:59:59+00:00"), "FATAL", "mover", "text"),
     ("Mar  1 00:40:54 cn-0015 rtp[447]: state dump [rank 186]: follows", at("2023-03-01T00:40:54+00:00"), "NONE", "rtp", "state dump [rank 186]: follows"),
     ('ts=1677638612.4829 lvl=E comp=monitor msg="retry 2 of 5"', 1677638612482, "ERROR", "monitor", "retry 2 of 5"),
-    ('severity=dbg ts=1677638525.957 comp=carp msg="x" rank=7', 1677638525957, "DEBUG", "carp", "x"),
+    ('severity=dbg ts=1677638525.957 comp=mover msg="x" rank=7', 1677638525957, "DEBUG", "mover", "x"),
     ('{"time": "2023-03-01T00:57:10.502Z", "level": "info", "component": "reader.probe", "message": "epoch"}', at("2023-03-01T00:57:10.502+00:00"), "INFO", "reader.probe", "epoch"),
     ('{"t": 1677632297791, "sev": "warning", "src": "shuffle", "text": "x", "detail": {"level": 3}}', 1677632297791, "WARN", "shuffle", "x"),
     ("8846, LOGICAL_BYTES_WRITTEN, 42499941", MS + 8846, "NONE", "LOGICAL_BYTES_WRITTEN", " 42499941"),
@@ -50,10 +50,10 @@ def test_layouts(spark):
 
 def test_continuations_heads_and_headers(spark):
     head = "[2023-03-01 00:57:08.096] -INFO- a: one"
-    lines = ["cut off", "  at carp::x", head, "    at carp::right+0x143", "  > 2023-03-01T01:13:10Z ERROR [b] quoted", "5332,2461,2587", None, "", "Timestamp (ms),Stat Type, Stat Value", "after the header", head, "{", "}"]
+    lines = ["cut off", "  at mover::x", head, "    at mover::right+0x143", "  > 2023-03-01T01:13:10Z ERROR [b] quoted", "5332,2461,2587", None, "", "Timestamp (ms),Stat Type, Stat Value", "after the header", head, "{", "}"]
     got = run(spark, {"f": lines, "g": ["nothing", "here"]})
     assert {k: r["n_lines"] for k, r in got.items()} == {("f", 3): 6, ("f", 11): 3}
-    assert got["f", 3]["message"].startswith("one\n    at carp::right")
+    assert got["f", 3]["message"].startswith("one\n    at mover::right")
 
 
 def test_json_over_several_lines(spark):
