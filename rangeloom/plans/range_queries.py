@@ -529,19 +529,23 @@ def generated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 # streaming
 
 
-def _adaptive(spark: SparkSession, sf_dir: str, policy) -> DataFrame:
+def _adaptive(spark: SparkSession, sf_dir: str, policy, cuts: tuple[float, ...] = ()) -> DataFrame:
+    """The epochs in order, each cut into batches by arrival (orders' keys) at the given shares of the whole."""
     path = f"{shared_dir(spark)}/adaptive/{uuid.uuid4().hex}"
     own = AdaptivePartitioner(spark, path.removeprefix("file:").replace("///", "/"), RANKS, policy, (32, 32, 32))
-    line = line_particles(spark, sf_dir).select("epoch", "rank", "key", "name")
-    for batch, r in enumerate(line.select("epoch").distinct().orderBy("epoch").collect()):
-        own.process(line.filter(F.col("epoch") == r["epoch"]), batch)
+    line = line_particles(spark, sf_dir)
+    low, high = line.agg(F.min("l_orderkey"), F.max("l_orderkey")).first()
+    part = sum((F.when(F.col("l_orderkey") > low + c * (high - low), 1).otherwise(0) for c in cuts), F.lit(0)) if low is not None else F.lit(0)
+    cut = line.select("epoch", "rank", "key", "name", part.alias("part"))
+    for batch, r in enumerate(cut.select("epoch", "part").distinct().orderBy("epoch", "part").collect()):
+        own.process(cut.filter((F.col("epoch") == r["epoch"]) & (F.col("part") == r["part"])).drop("part"), batch)
     own.finish()
     return balance.load_stddev(placement.destination_counts(own.assigned(), RANKS, ["epoch"]), ["epoch"])
 
 
 @query()
 def adaptive_intra_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _adaptive(spark, sf_dir, IntraEpochPolicy(500_000, 512))
+    return _adaptive(spark, sf_dir, IntraEpochPolicy(500_000, 512), (0.02, 0.3))
 
 
 @query()

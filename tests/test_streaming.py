@@ -113,3 +113,23 @@ def test_wrong_arguments(spark, tmp_path):
         AdaptivePartitioner(spark, str(tmp_path), 6, IntraEpochPolicy())
     with pytest.raises(ValueError):
         AdaptivePartitioner(spark, str(tmp_path), 4, IntraEpochPolicy(), late="drop")
+
+
+def test_registered_query_adapts_within_epochs(spark, data, monkeypatch):
+    """Each epoch comes in several batches by arrival, and every record once."""
+    from rangeloom.plans import range_queries
+
+    seen = []
+
+    class Recorded(AdaptivePartitioner):
+        def process(self, batch, batch_id):
+            seen.extend((batch_id, r["epoch"], int(r["name"].split("-")[0])) for r in batch.collect())
+            if batch_id == 0:
+                super().process(batch, batch_id)
+
+    monkeypatch.setattr(range_queries, "AdaptivePartitioner", Recorded)
+    range_queries.adaptive_intra_epoch(spark, str(data))
+    assert len(seen) == range_queries.line_particles(spark, str(data)).count()
+    for epoch in {e for _, e, _ in seen}:
+        spans = [[o for b, e, o in seen if (b, e) == (at, epoch)] for at in sorted({b for b, e, _ in seen if e == epoch})]
+        assert len(spans) > 1 and all(max(a) < min(b) for a, b in zip(spans, spans[1:], strict=False))
