@@ -110,10 +110,15 @@ def clean(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path for a table of our own in the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/rangeloom/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, partition_by: Iterable[str] = ()) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: a cut in the lineage that survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/rangeloom/{uuid.uuid4().hex}"
+    path = shared_path(spark, "table")
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)

@@ -83,23 +83,59 @@ def test_one_file_listed_very_often(spark):
     assert [r["ps_id"] for r in ar.found_files(df).collect()] == [0]
 
 
-def test_pack_and_read_back(spark, tmp_path):
+def test_large_files_begin_their_containers(spark):
+    rows = [(i, 1, f"/r/f{i}", 5000 if i % 3 == 0 else 10) for i in range(60)]
+    plan = ar.plan_containers(ar.distinct_files(listing(spark, rows)).cache(), 4000).collect()
+    large = [r for r in plan if r["length"] == 5000]
+    assert len(plan) == 60 and len(large) == 20 == len({r["container"] for r in large}) and {r["offset"] for r in large} == {0}
+
+
+def random_files(n: int) -> dict:
     rng = random.Random(1)
-    content = {f"/p/{i}": bytes(rng.getrandbits(8) for _ in range(rng.choice([0, 1, 40, 48, 3000]))) for i in range(300)}
-    df = spark.createDataFrame([(p, bytearray(c)) for p, c in content.items()] + [(None, bytearray(b"x"))], "path string, content binary")
+    return {f"/p/{i}": bytes(rng.getrandbits(8) for _ in range(rng.choice([0, 1, 40, 48, 3000]))) for i in range(n)}
+
+
+@pytest.mark.parametrize("rows_a_batch", ["10000", "7"])
+def test_pack_and_read_back(spark, tmp_path, rows_a_batch):
+    content = random_files(300)
+    df = spark.createDataFrame([(p, bytearray(c)) for p, c in content.items()] + [(None, bytearray(b"x")), ("/none", None)], "path string, content binary")
     out = str(tmp_path / "packed")
-    index = ar.pack(df, out, 20_000)
-    assert index.count() == 300 and 1 < index.select("container").distinct().count() < 60
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_a_batch)
+    try:
+        index = ar.pack(df, out, block_bytes=20_000)
+        places = {r["path"]: r for r in index.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert set(places) == set(content) and all(places[p]["length"] == len(c) for p, c in content.items())
+    assert 1 < index.select("container").distinct().count() < 60
     back = ar.read_members(spark, out).collect()
     assert all(r["intact"] for r in back)
-    assert {r["path"]: bytes(r["content"]) for r in back} == content
+    assert len(back) == 300 and {r["path"]: bytes(r["content"]) for r in back} == content
     few = spark.createDataFrame([("/p/7",), ("/p/7",), ("/none",)], "path string")
     assert [bytes(r["content"]) for r in ar.read_members(spark, out, few).collect()] == [content["/p/7"]]
+    many = spark.createDataFrame([(f"/p/{i}",) for i in range(0, 300, 2)], "path string")
+    assert {r["path"]: bytes(r["content"]) for r in ar.read_members(spark, out, many).collect()} == {f"/p/{i}": content[f"/p/{i}"] for i in range(0, 300, 2)}
+
+
+def test_a_lookup_reads_one_block(spark, tmp_path):
+    """The ranges of hashes of all blocks are apart, so a file may be in one of them only."""
+    content = random_files(300)
+    out = str(tmp_path / "ranges")
+    ar.pack(spark.createDataFrame([(p, bytearray(c)) for p, c in content.items()], "path string, content binary"), out, block_bytes=5_000)
+    spans = sorted((r["low"], r["high"]) for r in spark.read.parquet(out).select("low", "high").collect())
+    assert len(spans) > 10 and all(a <= b for a, b in spans) and all(x[1] < y[0] for x, y in zip(spans, spans[1:], strict=False))
+
+
+def test_empty_archive(spark, tmp_path):
+    out = str(tmp_path / "none")
+    assert ar.pack(spark.createDataFrame([], "path string, content binary"), out).count() == 0
+    assert ar.read_members(spark, out).count() == 0
+    assert ar.read_members(spark, out, spark.createDataFrame([("/a",)], "path string")).count() == 0
 
 
 def test_a_path_packed_twice_is_refused(spark, tmp_path):
-    df = spark.createDataFrame([("/a", bytearray(b"1")), ("/a", bytearray(b"2"))], "path string, content binary")
-    with pytest.raises(ValueError):
+    df = spark.createDataFrame([("/a", bytearray(b"1")), ("/b", bytearray(b"1")), ("/a", bytearray(b"2"))], "path string, content binary")
+    with pytest.raises(Exception, match="more than once"):
         ar.pack(df, str(tmp_path / "x"))
 
 
@@ -107,6 +143,14 @@ def test_damage_is_noticed(spark, tmp_path):
     df = spark.createDataFrame([("/a", bytearray(b"abc"))], "path string, content binary")
     out = str(tmp_path / "y")
     ar.pack(df, out)
-    bad = spark.read.parquet(out).selectExpr("container", "cast('abX' AS binary) AS content", "members")
+    bad = spark.read.parquet(out).withColumn("content", F.lit(b"abX"))
     bad.write.parquet(out + "2")
     assert [r["intact"] for r in ar.read_members(spark, out + "2").collect()] == [False]
+
+
+def test_records_of_a_listing(spark, tmp_path):
+    rows = [(5, 1, "/r/A", 48), (2, 1, "/r/./A", 48), (9, None, "/r/line\nfeed", None), (4, 2, "/r/Z", 0)]
+    out = str(tmp_path / "listing")
+    ar.archive_listing(listing(spark, rows), out)
+    got = sorted(tuple(r) for r in ar.listed_members(ar.read_members(spark, out)).collect())
+    assert got == [(2, 1, "/r/A", 48, True), (9, None, "/r/line\nfeed", 4096, False)]
