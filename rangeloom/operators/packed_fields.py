@@ -10,6 +10,7 @@ the values come out by position. All of it runs as JVM expressions.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,51 +41,66 @@ MAX_BROADCAST_SKELETONS = 200_000
 MAX_BROADCAST_CHARS = 32_000_000
 
 
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is made once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def skeleton(text: Column) -> Column:
     """The delimiter skeleton of a field: head, tail, the distinct ways of separating in order, and the masks used.
 
     Null for null. The length is bounded by the number of different separators, not by the number of values.
     """
-    masked = F.translate(text, _MASKS, _OTHER * 2)
-    masked = F.regexp_replace(masked, QUOTED, _QUOTE_MASK)
-    masked = F.regexp_replace(masked, f"{WORD}+", _WORD_MASK)
-    masked = F.regexp_replace(masked, f"{WS}+", " ")
-    label = F.regexp_extract(masked, f"^ ?{_WORD_MASK} ?:", 0)
-    note = F.when(text.rlike(NOTE), F.regexp_extract(masked, rf" ?:? ?{_WORD_MASK} ?\([^()]*\) ?$", 0)).otherwise("")
-    # as an array of one, so that the mask is made once
-    one = F.transform(F.array(F.struct(masked.alias("m"), label.alias("l"), note.alias("n"))), lambda p: _named(p["m"], p["l"], p["n"]))
-    return F.when(text.isNotNull(), F.element_at(one, 1))
-
-
-def _named(masked: Column, label: Column, note: Column) -> Column:
-    body = masked.substr(F.length(label) + 1, F.length(masked) - F.length(label) - F.length(note))
-    gaps = F.regexp_extract_all(body, F.lit(f"[{_MASKS}]([^{_MASKS}]*)(?=[{_MASKS}])"), F.lit(1))
-    return F.concat_ws(
-        "\n",
-        F.when(F.length(label) > 0, F.lit("L")).otherwise(""),
-        F.when(F.length(note) > 0, F.lit("N")).otherwise(""),
-        F.when(body.contains(_QUOTE_MASK), F.lit("q")).otherwise(""),
-        F.regexp_extract(body, f"^[^{_MASKS}]*", 0),
-        F.regexp_extract(body, f"[^{_MASKS}]*$", 0),
-        F.to_json(F.array_sort(F.array_distinct(gaps))),
-    )
+    # few fields need the first two looks at all
+    safe = F.when(text.contains(_QUOTE_MASK) | text.contains(_WORD_MASK), F.translate(text, _MASKS, _OTHER * 2)).otherwise(text)
+    unquoted = _bound(safe, lambda t: F.when(t.contains('"') | t.contains("'"), F.regexp_replace(t, QUOTED, _QUOTE_MASK)).otherwise(t))
+    masked = F.regexp_replace(F.regexp_replace(unquoted, f"{WORD}+", _WORD_MASK), f"{WS}+", " ")
+    noted = text.contains("OOB") & text.rlike(NOTE)
+    return F.when(text.isNotNull(), _bound(masked, lambda m: _named(m, noted)))
+
+
+def _named(masked: Column, noted: Column) -> Column:
+    label = F.when(masked.contains(":"), F.regexp_extract(masked, f"^ ?{_WORD_MASK} ?:", 0)).otherwise("")
+    note = F.when(noted, F.regexp_extract(masked, rf" ?:? ?{_WORD_MASK} ?\([^()]*\) ?$", 0)).otherwise("")
+
+    def named(p: Column) -> Column:
+        body = masked.substr(F.length(p["l"]) + 1, F.length(masked) - F.length(p["l"]) - F.length(p["n"]))
+        # what stands before, between and after the masks
+        return _bound(
+            F.split(body, f"[{_MASKS}]"),
+            lambda gaps: F.concat_ws(
+                "\n",
+                F.when(F.length(p["l"]) > 0, F.lit("L")).otherwise(""),
+                F.when(F.length(p["n"]) > 0, F.lit("N")).otherwise(""),
+                F.when(body.contains(_QUOTE_MASK), F.lit("q")).otherwise(""),
+                gaps[0],
+                F.when(F.size(gaps) > 1, F.element_at(gaps, -1)).otherwise(""),
+                F.when(F.size(gaps) < 3, "").otherwise(F.concat(F.lit(_WORD_MASK), F.array_join(F.array_sort(F.array_distinct(F.slice(gaps, 2, F.greatest(F.size(gaps) - 2, F.lit(0))))), _WORD_MASK))),
+            ),
+        )
+
+    return _bound(F.struct(label.alias("l"), note.alias("n")), named)
 
 
 def rules(skeletons: DataFrame, column: str = "skeleton") -> DataFrame:
     """The splitting rule of every distinct skeleton.
 
-    ``label``, ``note`` and ``bracket`` say what has to be cut off, ``how`` how the rest is split: 'one' (fewer than
-    two values), 'blank' (white space alone separates), 'plain' (no quotes) or 'quoted'.
+    ``label``, ``note`` and ``bracket`` say what has to be cut off, ``head`` and ``tail`` whether other separators then stand
+    before or after the values, ``how`` how the rest is split: 'one' (fewer than two values), 'blank' (white space alone
+    separates), 'plain' (no quotes) or 'quoted'.
     """
     part = F.split(F.col(column), "\n")
-    head, tail, gaps = F.trim(part[3]), F.trim(part[4]), F.from_json(part[5], "array<string>")
+    head, tail, gaps = F.trim(part[3]), F.trim(part[4]), F.split(F.substring(part[5], 2, 1 << 30), _WORD_MASK)
     pair = F.concat(F.substring(head, 1, 1), F.reverse(tail).substr(1, 1))
+    bracket = pair.isin("[]", "()", "{}", "<>")
     return skeletons.select(
         F.col(column),
         (part[0] == "L").alias("label"),
         (part[1] == "N").alias("note"),
-        pair.isin("[]", "()", "{}", "<>").alias("bracket"),
-        F.when(F.size(gaps) == 0, "one")
+        bracket.alias("bracket"),
+        F.when(bracket, F.length(F.ltrim(part[3])) > 1).otherwise(F.length(part[3]) > 0).alias("head"),
+        F.when(bracket, F.length(F.rtrim(part[4])) > 1).otherwise(F.length(part[4]) > 0).alias("tail"),
+        F.when(part[5] == "", "one")
         .when(part[2] == "q", "quoted")
         .when(F.forall(gaps, lambda g: g == " "), "blank")
         .otherwise("plain")
@@ -101,22 +117,29 @@ def _unquote(value: Column) -> Column:
     )
 
 
-def split_by_rule(text: Column, label: Column, note: Column, bracket: Column, how: Column) -> Column:
-    """The values of a field in order, by the rule of its skeleton; an empty array where there are fewer than two."""
-    body = F.when(note, F.regexp_replace(text, NOTE, "")).otherwise(text)
-    body = F.when(label, F.regexp_replace(body, LABEL, "")).otherwise(body)
-    body = F.when(bracket, F.regexp_replace(F.regexp_replace(body, OPEN, ""), CLOSE, "")).otherwise(body)
+def split_by_rule(text: Column, rule: Column) -> Column:
+    """The values of a field in order, by the rule of its skeleton (a struct); an empty array where there are fewer than two."""
+    how = rule["how"]
+
+    def cut(given: Column, when: Column, *patterns: str) -> Column:
+        return _bound(given, lambda t: F.when(when, reduce(lambda x, pattern: F.regexp_replace(x, pattern, ""), patterns, t)).otherwise(t))
+
+    body = cut(text, rule["note"], NOTE)
+    body = cut(body, rule["label"], LABEL)
+    body = cut(body, rule["bracket"], OPEN, CLOSE)
     # separators at the end give no place; one may stand before the first value
-    body = F.regexp_replace(F.regexp_replace(body, rf"(?<=[{_PLAIN}\"'])[^{_PLAIN}\"']++$", ""), f"^{WS}*(?:{SEP}{WS}*)?", "")
+    body = cut(body, rule["tail"], rf"(?<=[{_PLAIN}\"'])[^{_PLAIN}\"']++$")
+    body = cut(body, rule["head"], f"^{WS}*(?:{SEP}{WS}*)?")
     gap = f"{WS}*+{SEP}{WS}*+|{WS}++"
     # a quoted value may touch the next one; a quote that is never closed separates
     touch = rf"(?<=[{_PLAIN}\"'])(?=[{_PLAIN}\"'])"
-    places = F.regexp_extract_all(F.concat(body, F.lit("\n")), F.lit(rf"({QUOTED}|{WORD}+|)(?:{gap}|{touch}|[\"'])"), F.lit(1))
-    return (
-        F.when(how == "blank", F.split(body, f"{WS}+"))
-        .when(how == "plain", F.split(body, gap))
-        .when(how == "quoted", F.transform(places, _unquote))
-        .otherwise(F.array().cast("array<string>"))
+    places = lambda t: F.regexp_extract_all(F.concat(t, F.lit("\n")), F.lit(rf"({QUOTED}|{WORD}+|)(?:{gap}|{touch}|[\"'])"), F.lit(1))
+    return _bound(
+        body,
+        lambda t: F.when(how == "blank", F.split(t, f"{WS}+"))
+        .when(how == "plain", F.split(t, gap))
+        .when(how == "quoted", F.transform(places(t), _unquote))
+        .otherwise(F.array().cast("array<string>")),
     )
 
 
@@ -133,17 +156,14 @@ def explode_packed(df: DataFrame, value_col: str, keep: Sequence[str], pos_name:
     if clash := names & set(keep):
         raise ValueError(f"kept columns clash with the result's: {sorted(clash)}")
     base = df.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{value_col}`").cast("string").alias("text"))
-    # one value without separators needs no rule; the skeleton is not null, so that the join doesn't make it twice to see
-    packed = base.filter(F.col("text").rlike(f"[^{_PLAIN}]")).withColumn("skeleton", F.coalesce(skeleton(F.col("text")), F.lit("")))
-    # as a table: else Spark carries what the rules say of a skeleton over to every record
+    # one value without separators needs no rule; each text is masked once, and what is read twice is a table
+    packed = materialize(base.filter(F.col("text").rlike(f"[^{_PLAIN}]")).withColumn("skeleton", skeleton(F.col("text"))))
     resolved = materialize(rules(packed.select("skeleton").distinct())).filter(F.col("how") != "one")
     size = resolved.agg(F.count("*").alias("n"), F.sum(F.length("skeleton")).alias("chars")).first()
     if size["n"] <= MAX_BROADCAST_SKELETONS and (size["chars"] or 0) <= MAX_BROADCAST_CHARS:
         resolved = F.broadcast(resolved)
-    cut = packed.join(resolved, "skeleton").select(
-        *[F.col(f"k{i}") for i in range(len(keep))],
-        split_by_rule(F.col("text"), F.col("label"), F.col("note"), F.col("bracket"), F.col("how")).alias("vals"),
-    )
+    rule = F.struct(*[F.col(c) for c in resolved.columns if c != "skeleton"])
+    cut = packed.join(resolved, "skeleton").select(*[F.col(f"k{i}") for i in range(len(keep))], split_by_rule(F.col("text"), rule).alias("vals"))
     return cut.select(
         *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)],
         F.posexplode("vals").alias(pos_name, val_name),
