@@ -2,8 +2,10 @@
 
 A line starts an entry if its head is a stamp in one of the known layouts; the lines up to the next start or header
 line belong to it. The grouping is cumulative per file, but a file may be most of the data, so files are cut into
-blocks of lines: starts are carried within a block by a window, and from block to block by a second window over one
-row a block. The fields of each entry then come from an ordered cascade of patterns, one a layout.
+blocks of lines, by which the texts are shuffled once. Within a block a window finds each line's start, and its entries are
+grouped where they are; of each block only the entry that is open at its end and the lines before its first start are
+merged with other blocks', by a second window over one row a block. The fields come from an ordered cascade of patterns, one
+a layout; each cuts the head line into all its fields at once.
 """
 
 from __future__ import annotations
@@ -13,7 +15,11 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rangeloom.config import materialize
+
 BLOCK_LINES = 16_384
+#: Up to so many blocks the row of each is broadcast to its entries; beyond that they are joined by a shuffle.
+MAX_BROADCAST_BLOCKS = 100_000
 
 _COMP = r"[A-Za-z_][\w.\-]*"
 _LEVEL = r"(?:[Tt][Rr][Aa][Cc][Ee]|[Dd][Ee][Bb][Uu][Gg]|[Dd][Bb][Gg]|[Ii][Nn][Ff][Oo]|[Ii][Nn][Ff][Oo][Rr][Mm][Aa][Tt][Ii][Oo][Nn]|[Nn][Oo][Tt][Ii][Cc][Ee]|[Ww][Aa][Rr][Nn](?:[Ii][Nn][Gg])?|[Ee][Rr][Rr](?:[Oo][Rr])?|[Ff][Aa][Tt][Aa][Ll]|[Cc][Rr][Ii][Tt](?:[Ii][Cc][Aa][Ll])?|[DIWEFC])"
@@ -39,17 +45,20 @@ LAYOUTS: dict[str, str] = {
 HEADER = r'^\s*"?[Tt]imestamp\s*\((?<unit>\w+)\)"?\s*,\s*"?[Ss]tat [Tt]ype"?\s*,\s*"?[Ss]tat [Vv]alue"?\s*$'
 
 
+#: What stands between the fields of a cut head line; it occurs in none but the last, the message.
+_GAP = "\x01"
 
-def _numbers(pattern: str) -> dict[str, int]:
-    return dict(re.compile(re.sub(r"\(\?<([a-z])", r"(?P<\1", pattern).replace(r"\k<quote>", "(?P=quote)")).groupindex)
-
-
-_GROUPS = {name: _numbers(pattern) for name, pattern in {**LAYOUTS, "header": HEADER}.items()}
 
-
-def _group(text: Column, layout: str, group: str) -> Column:
-    pattern = HEADER if layout == "header" else LAYOUTS[layout]
-    return F.regexp_extract(text, pattern, _GROUPS[layout][group])
+def _cut(text: Column, layout: Column) -> Column:
+    """The fields of a head line by its layout: at, zone, level, component, message. Shorter where the layout has none."""
+    out = F.lit(None).cast("array<string>")
+    for name, pattern in LAYOUTS.items():
+        groups = set(re.findall(r"\(\?<([a-z]+2?)>", pattern))
+        if "at" in groups:
+            fields = [[g for g in (f, f"{f}2") if g in groups] for f in ("at", "zone", "level", "component", "message")]
+            line = _GAP.join("".join(f"${{{g}}}" for g in f) for f in fields)
+            out = F.when(layout == name, F.split(F.regexp_replace(text, pattern, line), _GAP, 5)).otherwise(out)
+    return out
 
 
 def layout_of(text: Column, following: Column) -> Column:
@@ -81,7 +90,7 @@ def level_of(word: Column) -> Column:
 def _millis(stamp: Column, pattern_digits: Column, zone: Column) -> Column:
     """Milliseconds since 1970 of 'yyyy-MM-dd HH:mm:ss' plus a fraction's digits, cut off; the zone is UTC if empty."""
     minutes = F.when(zone.rlike(r"^[+-]"), (F.substring(zone, 2, 2).cast("int") * 60 + F.regexp_extract(zone, r"(\d\d)$", 1).cast("int")) * F.when(zone.startswith("-"), -1).otherwise(1)).otherwise(0)
-    seconds = F.unix_seconds(F.try_to_timestamp(F.concat(stamp, F.lit(" +00:00")), F.lit("yyyy-MM-dd HH:mm:ss XXX")))
+    seconds = F.unix_seconds(F.concat(stamp, F.lit("Z")).try_cast("timestamp"))
     millis = F.rpad(F.substring(pattern_digits, 1, 3), 3, "0").cast("bigint")
     return seconds * 1000 - minutes.cast("bigint") * 60_000 + millis
 
@@ -89,20 +98,18 @@ def _millis(stamp: Column, pattern_digits: Column, zone: Column) -> Column:
 def _decimal_millis(number: Column, digits: int) -> Column:
     """A decimal number shifted by ``digits`` places and cut off, without going through floating point."""
     whole, part = F.substring_index(number, ".", 1), F.when(number.contains("."), F.substring_index(number, ".", -1)).otherwise("")
-    return F.expr("try_cast(null as bigint)") if digits < 0 else (F.concat(whole, F.rpad(F.substring(part, 1, digits), digits, "0")).try_cast("bigint") if digits else whole.try_cast("bigint"))
+    return F.concat(whole, F.rpad(F.substring(part, 1, digits), digits, "0")).try_cast("bigint") if digits else whole.try_cast("bigint")
 
 
-def entries(lines: DataFrame) -> DataFrame:
-    """Log entries from lines (log_file, line_no, line_text, opened_ts): log_file, line_no, n_lines, ts_ms, log_level, component, message.
+def _joined(lines: Column) -> Column:
+    return F.array_join(F.transform(F.array_sort(lines), lambda x: x["text"]), "\n")
 
-    - A line shipped more than once counts once; line_no is the entry's first line, n_lines the number of its lines.
-    - Lines before the first entry of a file, and header lines, belong to none.
-    - Null line texts count as empty lines; lines without a file or number are left out.
-    - Relative stamps are in the unit named by the last header above, else by any header of the file, else seconds where
-      the file writes its stamps with a decimal point, else milliseconds. Without opened_ts their ts_ms is null, and a
-      stamp without a year is null, too.
-    - message is the entry's text without its head; further lines follow after line feeds.
-    - An empty table gives an empty result; other columns are ignored.
+
+def _fragments(lines: DataFrame, messages: bool) -> DataFrame:
+    """What each block holds of each entry, and of the lines before its first start (``start`` null), one row each.
+
+    Columns: log_file, block, start, layout, n_lines, opened, unit, cut (fields of the head line), pairs, json (a JSON entry's text up
+    to its closing brace), closed (whether that is there), more (the lines after it or after the head), loose (all lines, where start is null).
     """
     sent = lines.select("log_file", F.col("line_no").cast("bigint").alias("line_no"), F.coalesce("line_text", F.lit("")).alias("text"), "opened_ts")
     sent = sent.filter("log_file IS NOT NULL AND line_no IS NOT NULL")
@@ -112,7 +119,7 @@ def entries(lines: DataFrame) -> DataFrame:
     both = F.when(F.col("line_no") % BLOCK_LINES == 0, F.array(block, block - 1)).otherwise(F.array(block))
     once = (
         sent.select("log_file", F.explode(both).alias("block"), "line_no", "text", opened.alias("opened"))
-        # by block at once, so that the window below needs no second shuffle of the texts
+        # by block at once, so that nothing below needs a second shuffle of the texts
         .repartition("log_file", "block")
         .groupBy("log_file", "block", "line_no")
         .agg(F.min("text").alias("text"), F.min("opened").alias("opened"))
@@ -122,93 +129,133 @@ def entries(lines: DataFrame) -> DataFrame:
     marked = once.withColumn("following", following).filter(F.floor(F.col("line_no") / BLOCK_LINES) == F.col("block"))
     marked = marked.withColumn("layout", layout_of(F.col("text"), F.col("following"))).drop("following")
     upto = in_block.rowsBetween(Window.unboundedPreceding, 0)
-    is_perf, is_header = F.col("layout") == "perf", F.col("layout") == "header"
-    mark = F.when(F.col("layout").isNotNull(), F.struct("line_no", "layout"))
-    unit = F.when(is_header, F.struct("line_no", F.lower(_group(F.col("text"), "header", "unit")).alias("unit")))
+    unit = F.when(F.col("layout") == "header", F.struct("line_no", F.lower(F.regexp_extract("text", HEADER, 1)).alias("unit")))
     # JSON goes on until its closing brace
-    closed = F.when((F.col("text").rlike(r"^\}") | ((F.col("layout") == "json") & F.col("text").rlike(r"\}\s*$"))), F.col("line_no"))
-    carried = marked.select(
+    closes = F.col("text").rlike(r"^\}") | (F.col("layout").eqNullSafe("json") & F.col("text").rlike(r"\}\s*$"))
+    owned = marked.select(
         "log_file", "block", "line_no", "text", "opened", "layout",
-        F.last(mark, ignorenulls=True).over(upto).alias("owner"),
-        F.last(unit, ignorenulls=True).over(upto).alias("unit"),
-        F.last(closed, ignorenulls=True).over(upto.rowsBetween(Window.unboundedPreceding, -1)).alias("closed"),
-        unit.alias("own_unit"),
-        F.when(is_perf & _group(F.col("text"), "perf", "at").contains("."), True).alias("decimal"),
+        F.last(F.when(F.col("layout").isNotNull(), F.struct("line_no", "layout")), ignorenulls=True).over(upto).alias("owner"),
+        F.last(unit, ignorenulls=True).over(upto)["unit"].alias("unit"),
+        closes.alias("closes"),
     )
+    is_head = F.col("line_no") == F.col("owner.line_no")
+    line = F.struct("line_no", "text", "closes")
+    collected = F.col("owner").isNull() | (F.col("owner.layout") == "json")
+    if messages:
+        collected = collected | ((F.col("owner.layout") != "header") & ~is_head)
+    entry = owned.groupBy("log_file", "block", "owner").agg(
+        F.count("*").cast("int").alias("n_lines"),
+        F.max(F.when(is_head, F.struct("text", "unit", "opened"))).alias("head"),
+        F.collect_list(F.when(collected, line)).alias("lines"),
+    )
+    layout, text = F.col("owner.layout"), F.col("head.text")
+    named = entry.withColumn("json_lines", F.when(layout == "json", _until_closed(F.col("lines"))))
+    more = F.when(layout == "json", F.filter("lines", lambda x: x["line_no"] > F.element_at("json_lines", -1)["line_no"])).when(F.col("owner").isNotNull(), F.col("lines"))
+    pair = lambda names: F.when(layout == "pairs", F.regexp_extract(text, rf'(?:^|\s)(?:{names})=("[^"]*"|\S*)', 1))
+    return named.select(
+        "log_file", "block", F.col("owner.line_no").alias("start"), layout.alias("layout"), "n_lines", F.col("head.opened").alias("opened"), F.col("head.unit").alias("unit"),
+        _cut(text, layout).alias("cut"),
+        F.when(layout == "pairs", F.struct(pair("lvl|level|severity").alias("level"), pair("comp|component|src").alias("component"), pair("msg|message|text").alias("message"))).alias("pairs"),
+        _joined(F.col("json_lines")).alias("json"),
+        F.exists("json_lines", lambda x: x["closes"]).alias("closed"),
+        (_joined(more) if messages else F.lit(None).cast("string")).alias("more"),
+        F.when(F.col("owner").isNull(), F.array_sort("lines")).alias("loose"),
+    )
+
+
+def _until_closed(lines: Column) -> Column:
+    """The lines in order up to the first that closes; all where none does."""
+    first = F.array_min(F.transform(F.filter(lines, lambda x: x["closes"]), lambda x: x["line_no"]))
+    return F.array_sort(F.filter(lines, lambda x: first.isNull() | (x["line_no"] <= first)))
+
+
+def entries(lines: DataFrame, messages: bool = True) -> DataFrame:
+    """Log entries from lines (log_file, line_no, line_text, opened_ts): log_file, line_no, n_lines, ts_ms, log_level, component, message.
+
+    - A line shipped more than once counts once; line_no is the entry's first line, n_lines the number of its lines.
+    - Lines before the first entry of a file, and header lines, belong to none.
+    - Null line texts count as empty lines; lines without a file or number are left out.
+    - Relative stamps are in the unit named by the last header above, else by any header of the file, else seconds where
+      the file writes its stamps with a decimal point, else milliseconds. Without opened_ts their ts_ms is null, and a
+      stamp without a year is null, too.
+    - message is the entry's text without its head; further lines follow after line feeds. An entry's message is one value,
+      however long. Without ``messages`` it is null, and only head lines and JSON texts are carried.
+    - An empty table gives an empty result; other columns are ignored.
+    """
+    parts = materialize(_fragments(lines, messages))
+    has_point = (F.col("layout") == "perf") & F.col("cut")[0].contains(".")
+    is_header = F.col("layout") == "header"
     # one row a block: what it hands on, and what the file says of its unit
-    blocks = carried.groupBy("log_file", "block").agg(
-        F.max("owner").alias("owner"), F.max("unit").alias("unit"), F.max("closed").alias("closed"), F.min("own_unit").alias("first_unit"), F.max("decimal").alias("decimal")
+    blocks = parts.groupBy("log_file", "block").agg(
+        F.max(F.when(F.col("start").isNotNull(), F.struct("start", "layout"))).alias("owner"),
+        F.max(F.when(is_header, F.struct("start", "unit"))).alias("unit"),
+        F.min(F.when(is_header, F.struct("start", "unit"))).alias("first_unit"),
+        F.max(has_point).alias("decimal"),
     )
     before = Window.partitionBy("log_file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("log_file")
-    handed = blocks.select(
+    handed = materialize(blocks.select(
         "log_file", "block",
-        F.last("owner", ignorenulls=True).over(before).alias("owner0"),
-        F.last("unit", ignorenulls=True).over(before).alias("unit0"),
-        F.last("closed", ignorenulls=True).over(before).alias("closed0"),
-        F.min("first_unit").over(whole).alias("any_unit"),
-        F.max("decimal").over(whole).alias("any_decimal"),
-    )
-    owned = carried.join(handed, ["log_file", "block"]).select(
-        "log_file", "block", "line_no", "text", "opened", "layout",
-        F.coalesce("owner", "owner0").alias("owner"),
-        F.coalesce("closed", "closed0").alias("closed"),
-        F.coalesce(F.coalesce("unit", "unit0", "any_unit")["unit"], F.when(F.col("any_decimal"), "s").otherwise("ms")).alias("unit"),
-    ).filter("owner IS NOT NULL AND owner.layout <> 'header'")
-    start = F.col("line_no") == F.col("owner.line_no")
-    in_json = (F.col("owner.layout") == "json") & (F.coalesce("closed", F.lit(-1)) < F.col("owner.line_no"))
-    line = F.struct("line_no", "text")
-    entry = owned.groupBy("log_file", F.col("owner.line_no").alias("line_no")).agg(
-        F.count("*").cast("int").alias("n_lines"),
-        F.max(F.when(start, F.struct("layout", "text", "unit", "opened"))).alias("head"),
-        F.collect_list(F.when(in_json, line)).alias("json_lines"),
-        F.collect_list(F.when(~start & ~in_json, line)).alias("more_lines"),
+        F.col("owner.start").alias("last_start"),
+        F.last("owner", ignorenulls=True).over(before).alias("owner"),
+        F.coalesce(F.last("unit", ignorenulls=True).over(before), F.min("first_unit").over(whole))["unit"].alias("unit0"),
+        F.max("decimal").over(whole).alias("decimal"),
+    ))
+    if handed.count() <= MAX_BROADCAST_BLOCKS:
+        handed = F.broadcast(handed)
+    known = parts.filter("start IS NOT NULL AND layout <> 'header'").drop("loose").join(handed.drop("owner"), ["log_file", "block"])
+    unit = F.coalesce("unit", "unit0", F.when(F.col("decimal"), F.lit("s")).otherwise(F.lit("ms")))
+    known = known.withColumn("unit", unit).drop("unit0", "decimal", "block")
+    # the rest of entries that go on in other blocks
+    loose = parts.filter("start IS NULL").select("log_file", "block", F.col("n_lines").alias("rest_lines"), "loose").join(handed, ["log_file", "block"])
+    rest = loose.filter("owner IS NOT NULL AND owner.layout <> 'header'").groupBy("log_file", F.col("owner.start").alias("start"))
+    rest = rest.agg(F.sum("rest_lines").cast("int").alias("rest_lines"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("block", "loose"))), lambda x: x["loose"])).alias("loose"))
+    at_end = F.col("start") == F.col("last_start")
+    open_ = known.filter(at_end).join(rest, ["log_file", "start"], "left").withColumn("loose", F.coalesce("loose", F.array().cast(parts.schema["loose"].dataType)))
+    in_json = (F.col("layout") == "json") & ~F.col("closed")
+    added = F.when(in_json, _until_closed(F.col("loose"))).otherwise(F.array().cast(parts.schema["loose"].dataType))
+    after = F.slice("loose", F.size("_json") + 1, F.greatest(F.size("loose") - F.size("_json"), F.lit(0)))
+    line_feed = lambda a, b, some: F.when(F.size(some) > 0, F.concat_ws("\n", F.when(F.col(a) != "", F.col(a)) if a == "more" else F.col(a), b)).otherwise(F.col(a))
+    closed = open_.withColumn("_json", added).withColumns(
+        {
+            "n_lines": F.col("n_lines") + F.coalesce("rest_lines", F.lit(0)),
+            "json": line_feed("json", _joined(F.col("_json")), F.col("_json")),
+            "more": line_feed("more", _joined(after), after) if messages else F.col("more"),
+        }
     )
-    texts = lambda c: F.array_join(F.transform(F.array_sort(c), lambda x: x["text"]), "\n")
-    return _fields(entry.select("log_file", "line_no", "n_lines", "head.*", texts(F.col("json_lines")).alias("json"), texts(F.col("more_lines")).alias("more")))
+    return _fields(known.filter(~at_end).unionByName(closed.select(known.columns)))
 
 
 def _fields(entry: DataFrame) -> DataFrame:
-    text, layout = F.col("text"), F.col("layout")
-
-    def pick(group: str, other: str = "") -> Column:
-        out = F.lit(None).cast("string")
-        for name, groups in _GROUPS.items():
-            if group in groups and name != "header":
-                one = _group(text, name, group)
-                if other in groups:
-                    one = F.concat(one, _group(text, name, other))
-                out = F.when(layout == name, one).otherwise(out)
-        return out
-
+    layout, cut = F.col("layout"), lambda i: F.when(F.size("cut") == 5, F.col("cut")[i]).otherwise("")
     keys = F.from_json("json", "map<string,string>", {"allowUnquotedControlChars": "true"})
     named = entry.withColumn("keys", F.when(layout == "json", keys))
     key = lambda *names: F.coalesce(*[F.col("keys")[n] for n in names])
-    pair = lambda names: F.regexp_extract(text, rf'(?:^|\s)(?:{names})=("[^"]*"|\S*)', 1)
+    is_json, is_pairs = layout == "json", layout == "pairs"
     raw = named.select(
-        "log_file", "line_no", "n_lines", "layout", "unit", "opened", "more", "text",
-        F.when(layout == "json", key("time", "t", "ts", "timestamp")).otherwise(pick("at")).alias("at"),
-        F.coalesce(F.when(layout == "json", F.regexp_extract(key("time", "timestamp"), r"(Z|[+-]\d\d:?\d\d)$", 1)).otherwise(pick("zone")), F.lit("")).alias("zone"),
-        F.when(layout == "json", key("level", "sev", "severity", "lvl")).when(layout == "pairs", F.regexp_replace(pair("lvl|level|severity"), '"', "")).otherwise(pick("level", "level2")).alias("level"),
-        F.when(layout == "json", key("component", "src", "comp")).when(layout == "pairs", F.regexp_replace(pair("comp|component|src"), '"', "")).otherwise(pick("component", "component2")).alias("component"),
-        F.when(layout == "json", key("message", "text", "msg")).when(layout == "pairs", F.regexp_replace(pair("msg|message|text"), '^"|"$', "")).otherwise(pick("message")).alias("message"),
+        "log_file", "start", "n_lines", "layout", "unit", "opened", "more",
+        F.when(is_json, key("time", "t", "ts", "timestamp")).otherwise(cut(0)).alias("at"),
+        F.coalesce(F.when(is_json, F.regexp_extract(key("time", "timestamp"), r"(Z|[+-]\d\d:?\d\d)$", 1)).otherwise(cut(1)), F.lit("")).alias("zone"),
+        F.when(is_json, key("level", "sev", "severity", "lvl")).when(is_pairs, F.replace(F.col("pairs.level"), F.lit('"'), F.lit(""))).otherwise(cut(2)).alias("level"),
+        F.when(is_json, key("component", "src", "comp")).when(is_pairs, F.replace(F.col("pairs.component"), F.lit('"'), F.lit(""))).otherwise(cut(3)).alias("component"),
+        F.when(is_json, key("message", "text", "msg")).when(is_pairs, F.regexp_replace("pairs.message", '^"|"$', "")).otherwise(cut(4)).alias("message"),
     )
     at, year = F.col("at"), F.date_format(F.timestamp_millis("opened"), "yyyy")
-    fraction = F.regexp_extract(at, r"[.,](\d+)", 1)
+    fraction = F.when(at.contains(".") | at.contains(","), F.regexp_extract(at, r"[.,](\d+)", 1)).otherwise("")
     month = F.expr("lpad(cast(floor((instr('JanFebMarAprMayJunJulAugSepOctNovDec', substring(at, 1, 3)) + 2) / 3) as string), 2, '0')")
     clock = F.when(
         layout == "syslog", F.concat(year, F.lit("-"), month, F.lit("-"), F.translate(at.substr(5, 2), " ", "0"), F.lit(" "), at.substr(8, 8))
-    ).when(layout == "glog", F.concat(year, F.lit("-"), at.substr(1, 2), F.lit("-"), at.substr(3, 2), F.lit(" "), at.substr(6, 8))).otherwise(F.translate(at.substr(1, 19), "T", " "))
+    ).when(layout == "glog", F.concat(year, F.lit("-"), at.substr(1, 2), F.lit("-"), at.substr(3, 2), F.lit(" "), at.substr(6, 8))).otherwise(F.concat(at.substr(1, 10), F.lit(" "), at.substr(12, 8)))
     absolute = _millis(clock, fraction, F.col("zone"))
     counted = F.col("opened") + F.when(F.col("unit").isin("s", "sec", "seconds"), _decimal_millis(at, 3)).when(F.col("unit").isin("us", "usec"), F.floor(_decimal_millis(at, 0) / 1000)).otherwise(_decimal_millis(at, 0))
     plain_number = at.rlike(r"^-?\d+(\.\d+)?$")
-    since_epoch = F.when(layout == "pairs", _decimal_millis(at, 3)).when(plain_number & (F.length(F.substring_index(at, ".", 1)) >= 12), _decimal_millis(at, 0)).otherwise(_decimal_millis(at, 3))
-    ts = F.when(layout == "perf", counted).when((layout == "pairs") | ((layout == "json") & plain_number), since_epoch).otherwise(absolute)
+    since_epoch = F.when(is_pairs, _decimal_millis(at, 3)).when(plain_number & (F.length(F.substring_index(at, ".", 1)) >= 12), _decimal_millis(at, 0)).otherwise(_decimal_millis(at, 3))
+    ts = F.when(layout == "perf", counted).when(is_pairs | (is_json & plain_number), since_epoch).otherwise(absolute)
     level = F.when(layout == "perf", F.lit("NONE")).otherwise(level_of(F.coalesce("level", F.lit(""))))
     message = F.concat_ws("\n", "message", F.when(F.col("more") != "", F.col("more")))
-    return raw.select("log_file", F.col("line_no").cast("int").alias("line_no"), "n_lines", ts.alias("ts_ms"), level.alias("log_level"), F.coalesce("component", F.lit("")).alias("component"), message.alias("message"))
+    return raw.select("log_file", F.col("start").cast("int").alias("line_no"), "n_lines", ts.alias("ts_ms"), level.alias("log_level"), F.coalesce("component", F.lit("")).alias("component"), message.alias("message"))
 
 
 def found_entries(perflog_raw: DataFrame) -> DataFrame:
     """``entries`` without the message."""
-    return entries(perflog_raw).select("log_file", "line_no", "n_lines", "ts_ms", "log_level", "component")
+    return entries(perflog_raw, messages=False).select("log_file", "line_no", "n_lines", "ts_ms", "log_level", "component")

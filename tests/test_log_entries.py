@@ -71,11 +71,12 @@ def test_units_of_relative_stamps(spark):
     assert (guessed["s", 2]["ts_ms"], guessed["m", 1]["ts_ms"], guessed["late", 1]["ts_ms"]) == (MS + 8000, MS + 7605, MS + 9000)
 
 
-@pytest.mark.parametrize("block", [3, 16_384])
+@pytest.mark.parametrize("block", [3, 5, 16_384])
 def test_long_files_in_blocks(spark, monkeypatch, block):
     monkeypatch.setattr(log_entries, "BLOCK_LINES", block)
-    lines = ["noise"] * 4 + ["{", ' "t": 1677632237420,', ' "sev": "E",', ' "src": "x",', ' "text": "y"', "}"] + ["more"] * 7 + ["Timestamp (s),Stat Type, Stat Value"] + ["lost"] * 5 + ["3,RENEG_AGGR_STD,1"] + ["1 2 3"] * 8
+    lines = ["noise"] * 4 + ["{", ' "t": 1677632237420, "sev": "E", "more": {', ' "a": {}', " },", ' "src": "x", "text": "y"', "}"] + ["more"] * 7 + ["Timestamp (s),Stat Type, Stat Value"] + ["lost"] * 5 + ["3,RENEG_AGGR_STD,1"] + ["1 2 3"] * 8
     got = run(spark, {"f": lines})
+    assert got["f", 5]["message"] == "y" + "\nmore" * 7
     assert {k[1]: (r["n_lines"], r["ts_ms"], r["log_level"]) for k, r in got.items()} == {5: (13, 1677632237420, "ERROR"), 24: (9, MS + 3000, "NONE")}
 
 
