@@ -9,6 +9,8 @@ the capacity: into full containers and a rest that is packed like others.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -87,7 +89,8 @@ def pack_documents(sizes: DataFrame, capacity: int = CAPACITY, group_docs: int =
     """
     once = materialize(sizes.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("tokens").alias("tokens")).filter("tokens > 0"))
     groups = max(1, -(-once.count() // group_docs))
-    spread = once.withColumn("grp", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("bigint"))
+    # a given number of partitions, as few bytes of lengths are much work
+    spread = once.withColumn("grp", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("bigint")).repartition(groups, "grp")
 
     def packed(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("doc_id")
@@ -120,3 +123,27 @@ def fill_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         used.groupBy(F.floor((F.lit(capacity) - F.col("used")) * 8 / F.lit(capacity)).cast("int").alias("eighths_empty"))
         .agg(F.count("*").alias("n_containers"), F.sum("used").alias("tokens"), F.sum(F.lit(capacity) - F.col("used")).alias("slack"))
     )
+
+
+def packing_faults(packed: DataFrame, sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """How often a packing breaks what must hold, all 0 in a right one: fault, n.
+
+    ``overfull``: containers with more than the capacity. ``gaps``: containers with room before or between items. ``split``:
+    documents split that fit a container. ``tokens``: documents whose tokens have not exactly one place each. ``unused``: 1
+    if there are more containers than 1 % and one a group more than the tokens fill.
+    """
+    packed = materialize(packed)
+    used = packed.groupBy("container_id").agg(F.sum("tokens").alias("used"), F.max(F.col("offset") + F.col("tokens")).alias("end"), F.count_distinct("offset").alias("starts"), F.count("*").alias("n"))
+    placed = packed.groupBy("doc_id").agg(F.sum("tokens").alias("placed"), F.count("*").alias("parts"), F.count_distinct("part_no").alias("numbers"), F.max("n_parts").alias("n_parts"))
+    once = sizes.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("tokens").alias("tokens")).filter("tokens > 0")
+    both = once.join(placed, "doc_id", "full")
+    wrong = both.filter("coalesce(placed, -1) <> coalesce(tokens, -2) OR parts <> numbers OR parts <> n_parts")
+    fill, docs = used.agg(F.count("*").alias("c"), F.sum("used").alias("used")).first(), once.count()
+    roomy = used.sparkSession.range(int(fill["c"] > -(-(fill["used"] or 0) // capacity) * 1.01 + -(-docs // GROUP_DOCS)))
+    found = {"overfull": used.filter(F.col("used") > capacity), "gaps": used.filter("used <> end OR starts <> n"), "split": both.filter((F.col("tokens") <= capacity) & (F.col("parts") > 1)), "tokens": wrong, "unused": roomy}
+    return reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("n")).select(F.lit(fault).alias("fault"), "n") for fault, df in found.items()])
+
+
+FAULTS_SQL = "SELECT unnest(['overfull', 'gaps', 'split', 'tokens', 'unused']) AS fault, CAST(0 AS BIGINT) AS n"
+#: No text is near the limit: those of more than so many bytes have more tokens.
+FOUND_SQL = "SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL AND strlen(text) > 16384"

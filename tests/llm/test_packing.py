@@ -91,3 +91,12 @@ def test_documents(spark):
 
 def test_special_strings_are_text(spark):
     assert len(encoder().encode_ordinary("<|endoftext|>")) > 1
+
+
+def test_faults(spark):
+    sizes = spark.createDataFrame([(i, 1 + i * 37 % 5000) for i in range(2000)], "doc_id bigint, tokens bigint")
+    packed = K.pack_documents(sizes).cache()
+    assert {r["fault"]: r["n"] for r in K.packing_faults(packed, sizes).collect()} == dict.fromkeys(("overfull", "gaps", "split", "tokens", "unused"), 0)
+    lost = packed.filter("doc_id > 100").withColumn("tokens", packed["tokens"] + 1)
+    found = {r["fault"]: r["n"] for r in K.packing_faults(lost, sizes).collect()}
+    assert found["tokens"] == 2000 and found["gaps"] > 0
