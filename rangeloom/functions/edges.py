@@ -8,6 +8,7 @@ bins, n for one right of them. NaN counts as left. Null keys give null.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -80,10 +81,17 @@ def bin_index(key: Column, edges: Sequence[float], force: bool = False) -> Colum
     return F.when(key.isNotNull(), index).cast("int")
 
 
-def bin_index_of(key: Column, edges: Column, force: bool = False) -> Column:
-    """As ``bin_index``, for edges in an array column. Null edges (no bins yet) leave every key on the left."""
+def bin_index_of(key: Column, edges: Column, force: bool = False, n_edges: int | None = None) -> Column:
+    """As ``bin_index``, for edges in an array column. Null edges (no bins yet) leave every key on the left.
+
+    Where all arrays are known to have ``n_edges`` edges, and those are not many, Spark compiles the search.
+    """
     n = F.size(edges) - 1
-    at = F.when(F.isnan(key) | edges.isNull(), F.lit(-1)).otherwise(F.size(F.filter(edges, lambda e: e <= key)) - 1)
+    if n_edges is not None and n_edges <= MAX_COMPILED:
+        below = reduce(lambda a, b: a + b, [(F.get(edges, F.lit(i)) <= key).cast("int") for i in range(n_edges)])
+    else:
+        below = F.size(F.filter(edges, lambda e: e <= key))
+    at = F.when(F.isnan(key) | edges.isNull(), F.lit(-1)).otherwise(below - 1)
     index = F.greatest(F.lit(0), F.least(n - 1, at)) if force else at
     return F.when(key.isNotNull(), index).cast("int")
 

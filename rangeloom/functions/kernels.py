@@ -5,7 +5,7 @@ A histogram's weight lies evenly within each bin. Values are found in closed for
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 
@@ -34,13 +34,14 @@ def split_keys(keys: np.ndarray, lo: float | None, hi: float | None) -> tuple[np
     return dedup_sorted(keys[keys < lo]), dedup_sorted(keys[keys >= hi])
 
 
-def vector_value(keys: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Values of a sorted vector in which each key weighs 1, at given weights: interpolated between keys, and just above
-    the last key at the full weight."""
-    n = len(keys)
-    at = np.asarray(weight, np.float64) * (n - 1) / n
-    inside = np.interp(at, np.arange(n), keys.astype(np.float64))
-    return np.where(weight >= n, float(np.nextafter(np.float32(keys[-1]), np.float32(np.inf))), inside)
+def positions(left: int, middle: float, right: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of ``n`` pivots over keys left of bins, the bins' weight and keys right of them: the source (0, 1 or 2, 3 for the end) of each,
+    and where in it: the place among the sorted keys, which may lie between two, or the weight in the bins."""
+    total = left + middle + right
+    at = total * np.arange(n) / (n - 1)
+    source = np.where(at < left, 0, np.where(at - left < middle, 1, np.where(at - left - middle < right, 2, 3)))
+    place = np.where(source == 0, at * (left - 1) / max(left, 1), np.where(source == 1, at - left, (at - left - middle) * (right - 1) / max(right, 1)))
+    return source, place
 
 
 def histogram_value(edges: np.ndarray, weights: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -64,25 +65,26 @@ def combined_pivots(keys: np.ndarray, edges: Sequence[float] | None, weights: Se
     has_bins = edges is not None and len(edges) > 1
     left, right = split_keys(keys, edges[0] if has_bins else None, edges[-1] if has_bins else None)
     middle = float(np.sum(weights)) if has_bins else 0.0
-    total = len(left) + middle + len(right)
+    value = lambda keys, place: np.interp(place, np.arange(len(keys)), keys.astype(np.float64)) if len(keys) else place
+    ends = [(float(side[0]), float(side[-1])) if len(side) else None for side in (left, right)]
+    return pivots_at(len(left), len(right), ends, lambda place: value(left, place), lambda place: value(right, place), edges if has_bins else None, weights, n)
+
+
+def pivots_at(n_left: int, n_right: int, ends: Sequence[tuple[float, float] | None], left: Callable, right: Callable, edges: Sequence[float] | None, weights: Sequence[float] | None, n: int) -> tuple[np.ndarray, float]:
+    """As ``combined_pivots``, from the numbers of keys on both sides, their first and last ones, and functions that give
+    the values at places among them."""
+    middle = float(np.sum(weights)) if edges is not None else 0.0
+    total = n_left + middle + n_right
     if total == 0:
         return np.zeros(n), 0.0
-    ends = [float(np.nextafter(side[-1], np.float32(np.inf))) if len(side) else None for side in (left, right)]
-    first = float(left[0]) if len(left) else float(edges[0]) if has_bins else float(right[0])
-    last = ends[1] if ends[1] is not None else float(edges[-1]) if has_bins else ends[0]
-    at = total * np.arange(n) / (n - 1)
+    source, place = positions(n_left, middle, n_right, n)
+    above = [float(np.nextafter(np.float32(e[1]), np.float32(np.inf))) if e else None for e in ends]
+    first = ends[0][0] if ends[0] else float(edges[0]) if edges is not None else ends[1][0]
+    last = above[1] if above[1] is not None else float(edges[-1]) if edges is not None else above[0]
     out = np.full(n, last)
-    in_left = at < len(left)
-    if in_left.any():
-        out[in_left] = vector_value(left, at[in_left])
-    rest = at - len(left)
-    in_middle = ~in_left & (rest < middle)
-    if in_middle.any():
-        out[in_middle] = histogram_value(np.asarray(edges), np.asarray(weights), rest[in_middle])
-    rest = rest - middle
-    in_right = ~in_left & ~in_middle & (rest < len(right))
-    if in_right.any():
-        out[in_right] = vector_value(right, rest[in_right])
+    for i, of in enumerate((left, lambda place: histogram_value(np.asarray(edges), np.asarray(weights), place), right)):
+        if (hit := source == i).any():
+            out[hit] = of(place[hit])
     out[0], out[-1] = first, last
     return np.maximum.accumulate(out), total / (n - 1)
 

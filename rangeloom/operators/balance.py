@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 
 from rangeloom.config import materialize
 from rangeloom.functions.edges import bin_index_of
-from rangeloom.operators.pivots import full_pivots, tree_pivots
+from rangeloom.operators.pivots import MAX_BROADCAST_GROUPS, full_pivots, tree_pivots
+
+
+def _small(edges: DataFrame) -> DataFrame:
+    return F.broadcast(edges) if edges.count() <= MAX_BROADCAST_GROUPS else edges
 
 
 def load_stddev(counts: DataFrame, by: Sequence[str] = (), n: str = "n") -> DataFrame:
@@ -23,10 +27,12 @@ def load_stddev(counts: DataFrame, by: Sequence[str] = (), n: str = "n") -> Data
 def count_into_bins(df: DataFrame, key: str, edges: DataFrame, ranks: int, by: Sequence[str]) -> DataFrame:
     """Records in each bin of their group's edges (by, edges), those out of bounds in the end bins: by, dest, n.
 
-    Empty bins are rows, too. Null keys are in no bin; NaN is in the first. Edges are one row a group and are broadcast.
+    Empty bins are rows, too. Null keys are in no bin; NaN is in the first. Edges, ``ranks`` + 1 of them, are one row a group;
+    up to MAX_BROADCAST_GROUPS rows are broadcast.
     """
-    placed = df.select(*by, F.col(key).alias("_key")).join(F.broadcast(edges.select(*by, F.col("edges").cast("array<float>").alias("_edges"))), list(by))
-    counts = placed.groupBy(*by, bin_index_of(F.col("_key"), F.col("_edges"), force=True).alias("dest")).agg(F.count("*").alias("n"))
+    edges = materialize(edges)
+    placed = df.select(*by, F.col(key).alias("_key")).join(_small(edges.select(*by, F.col("edges").cast("array<float>").alias("_edges"))), list(by))
+    counts = placed.groupBy(*by, bin_index_of(F.col("_key"), F.col("_edges"), force=True, n_edges=ranks + 1).alias("dest")).agg(F.count("*").alias("n"))
     every = edges.select(*by, F.explode(F.sequence(F.lit(0), F.lit(ranks - 1))).alias("dest"))
     return every.join(counts, [*by, "dest"], "left").fillna(0, ["n"])
 
@@ -50,8 +56,8 @@ def load_suites(df: DataFrame, key: str, ranks: int, n: int, sample: int, order:
     choices = F.array(F.struct(F.lit("ep0pp").alias("runtype"), F.col("first").alias("edges")), F.struct(F.lit("epxsub1pp").alias("runtype"), F.col("before").alias("edges")), F.struct(F.lit("epxpp").alias("runtype"), F.col("edges").alias("edges")))
     chosen = materialize(numbered.select("epoch", "epidx", F.explode(choices).alias("c")).select("epoch", "epidx", "c.runtype", "c.edges").filter("edges IS NOT NULL"))
     # all three are counted in one pass over the records
-    placed = df.select("epoch", F.col(key).alias("_key")).join(F.broadcast(chosen.select("epoch", "runtype", F.col("edges").cast("array<float>").alias("_edges"))), "epoch")
-    counts = placed.groupBy("epoch", "runtype", bin_index_of(F.col("_key"), F.col("_edges"), force=True).alias("dest")).agg(F.count("*").alias("n"))
+    placed = df.select("epoch", F.col(key).alias("_key")).join(_small(chosen.select("epoch", "runtype", F.col("edges").cast("array<float>").alias("_edges"))), "epoch")
+    counts = placed.groupBy("epoch", "runtype", bin_index_of(F.col("_key"), F.col("_edges"), force=True, n_edges=ranks + 1).alias("dest")).agg(F.count("*").alias("n"))
     every = chosen.select("epoch", "epidx", "runtype", F.explode(F.sequence(F.lit(0), F.lit(ranks - 1))).alias("dest"))
     filled = every.join(counts, ["epoch", "runtype", "dest"], "left").fillna(0, ["n"])
     result = load_stddev(filled, ["runtype", "epidx"])

@@ -119,7 +119,7 @@ def full_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {LINE_SQL} SELECT epoch, CAST(len(list(DISTINCT key)) AS INTEGER) AS n_keys, round(min(key), 2) AS least, round(max(key), 2) AS most FROM line GROUP BY epoch")
 def dedup_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = pivots.dedup_keys(line_particles(spark, sf_dir), "key", ["epoch"])
-    return kept.select("epoch", F.size("keys").alias("n_keys"), F.round(F.element_at("keys", 1), 2).alias("least"), F.round(F.element_at("keys", -1), 2).alias("most"))
+    return kept.groupBy("epoch").agg(F.count("*").cast("int").alias("n_keys"), F.round(F.min("key"), 2).alias("least"), F.round(F.max("key"), 2).alias("most"))
 
 
 _HIST = f"""hist AS (
@@ -210,8 +210,8 @@ def prev_epoch_pivots_load(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def calc_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, weight = pivots.calc_pivots(line_particles(spark, sf_dir), "key", EDGES, [1.0] * 8, 9)
-    return spark.createDataFrame([(k, float(p), weight) for k, p in enumerate(found)], "k int, pivot double, weight double")
+    found = pivots.calc_pivots(line_particles(spark, sf_dir), "key", EDGES, [1.0] * 8, 9)
+    return found.select(F.posexplode("pivots").alias("k", "pivot"), "weight").select("k", F.round(F.col("pivot") + 1e-5, 3).alias("pivot"), F.round("weight", 6).alias("weight"))
 
 
 @query(f"WITH {LINE_SQL}, {_HIST} SELECT CAST(bin AS INTEGER) AS bin, any_value(lo) AS lo, any_value(hi) AS hi, sum(w) + 1.0 AS w FROM hist GROUP BY bin")

@@ -59,8 +59,45 @@ def test_dedup():
 
 
 def test_dedup_by_group(spark):
-    df = spark.createDataFrame([(1, x) for x in (5.0, 5.0, 6.0, 1e-8, 0.0, 7.0, None, float("nan"))], "g int, k float")
-    assert pivots.dedup_keys(df, "k", ["g"]).first()["keys"] == [0.0, 5.0, 6.0, 7.0]
+    rng = np.random.default_rng(4)
+    near = np.concatenate([np.arange(0, 3e-6, 3e-8), rng.uniform(-1e-5, 1e-5, 200), rng.uniform(0.9, 0.90001, 300), [5, 5, 6, 0.0, -0.0, 7, np.inf]]).astype(np.float32)
+    groups = {1: near, 2: np.array([2.0], np.float32), None: near[:50]}
+    df = spark.createDataFrame([(g, float(x)) for g, xs in groups.items() for x in xs] + [(1, None), (1, float("nan")), (9, None)], "g int, k float")
+    got: dict = {}
+    for r in pivots.dedup_keys(df, "k", ["g"]).collect():
+        got.setdefault(r["g"], []).append(r["key"])
+    assert {g: sorted(xs) for g, xs in got.items()} == {g: K.dedup_sorted(xs + np.float32(0)).tolist() for g, xs in groups.items()}
+
+
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_many_keys_outside_bins_like_the_kernel(spark, monkeypatch, most):
+    """Keys on both sides, on one, and without bins, some within 1e-7 of each other."""
+    monkeypatch.setattr(pivots, "MAX_KEYS", most)
+    rng = np.random.default_rng(5)
+    groups = {
+        1: (rng.normal(0, 3, 900), [-1.0, 0.0, 2.0], [5.0, 7.0]), 2: (rng.uniform(3, 3.00001, 500), [-1.0, 0.0, 2.0], [0.0, 0.0]), 3: (rng.normal(0, 1, 50), None, None),
+        4: (np.zeros(0), [0.0, 4.0], [3.0]), 5: (rng.uniform(-9, -8, 7), [0.0, 4.0, 5.0], [1.0, 2.0]),
+    }
+    keys = spark.createDataFrame([(g, float(np.float32(x))) for g, (xs, _, _) in groups.items() for x in xs], "g int, key float")
+    bins = spark.createDataFrame([(g, e, w) for g, (_, e, w) in groups.items() if e is not None], "g int, edges array<double>, weights array<double>")
+    got = {r["g"]: r for r in pivots.combined_pivots(bins, keys, 11, ["g"]).collect()}
+    for g, (xs, e, w) in groups.items():
+        want, weight = K.combined_pivots(xs.astype(np.float32), e, w, 11)
+        assert np.allclose(got[g]["pivots"], want, atol=1e-9) and math.isclose(got[g]["weight"], weight), g
+
+
+def test_quantile_edges_like_numpy(spark):
+    rng = np.random.default_rng(6)
+    xs = {1: rng.normal(0, 1e3, 1001), 2: np.array([4.0]), 3: np.repeat([1.5, -2.0, 7.0], 40)}
+    for kind in ("float", "double"):
+        cast = np.float32 if kind == "float" else np.float64
+        df = spark.createDataFrame([(g, float(cast(x))) for g, v in xs.items() for x in v] + [(1, None), (1, float("nan"))], f"g int, k {kind}")
+        got: dict = {}
+        for r in pivots.quantile_edges(df, "k", 9, ["g"]).collect():
+            got.setdefault(r["g"], {})[r["k"]] = r["pivot"]
+        for g, v in xs.items():
+            assert np.allclose([got[g][k] for k in range(9)], np.quantile(v.astype(cast).astype(float), np.arange(9) / 8), rtol=1e-12)
+    assert pivots.quantile_edges(df.limit(0), "k", 3).count() == 0
 
 
 def test_worked_example_of_all_sources():
@@ -219,8 +256,8 @@ def test_approximate_edges_are_close(spark):
 
 def test_calc_pivots(spark):
     df = spark.createDataFrame([(-1.0,), (-0.5,), (12.0,), (3.0,)], "key float")
-    got, weight = pivots.calc_pivots(df, "key", [0.0, 5.0, 10.0], [3.0, 1.0], 5)
-    assert np.allclose(got, [-1, 0, 2.5, 5, 12]) and weight == 2
+    got = pivots.calc_pivots(df, "key", [0.0, 5.0, 10.0], [3.0, 1.0], 5).first()
+    assert np.allclose(got["pivots"], [-1, 0, 2.5, 5, 12]) and got["weight"] == 2
 
 
 def test_apportion():
