@@ -12,58 +12,18 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
 from rangeloom.config import materialize
+from rangeloom.operators import radix
 
 DIGIT = 16
 PROBS = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
-#: Up to so many followed digits are broadcast to the next pass; beyond that the pass joins them by a shuffle.
-MAX_BROADCAST = 200_000
 # The ends of a range that was never set.
 UNSET = (1.7976931348623157e308, 2.2250738585072014e-308)
 
 
-def _ordered(x: np.ndarray) -> np.ndarray:
-    """Floats as signed integers of the same width in the same order; both zeros become one."""
-    kind = np.int32 if x.dtype == np.float32 else np.int64
-    bits = (x + x.dtype.type(0)).view(kind)
-    return bits ^ ((bits >> (bits.itemsize * 8 - 1)) & np.iinfo(kind).max)
-
-
-def _value(code: np.ndarray, width: int) -> np.ndarray:
-    kind, real = (np.int32, np.float32) if width == 32 else (np.int64, np.float64)
-    code = code.astype(kind)
-    return (code ^ ((code >> (width - 1)) & np.iinfo(kind).max)).view(real).astype(np.float64)
-
-
-@F.pandas_udf(LongType())
-def _encode32(x: pd.Series) -> pd.Series:
-    return pd.Series(_ordered(x.to_numpy(np.float32)).astype(np.int64))
-
-
-@F.pandas_udf(LongType())
-def _encode64(x: pd.Series) -> pd.Series:
-    return pd.Series(_ordered(x.to_numpy(np.float64)))
-
-
-def encode(x: Column, width: int) -> Column:
-    """The order-preserving code of a float (32) or double (64) column that holds neither null nor NaN."""
-    return _encode32(x.cast("float")) if width == 32 else _encode64(x.cast("double"))
-
-
-def _decode(code: Column, width: int) -> Column:
-    @F.pandas_udf("double")
-    def decoded(c: pd.Series) -> pd.Series:
-        return pd.Series(_value(c.to_numpy(np.int64), width))
-
-    return decoded(code)
-
-
 def _rank(p: Column, n: Column) -> Column:
     """The place of a percentile among n sorted values, from 1: the smallest with at least the share p at or below it."""
     return F.greatest(F.ceil(p * n), F.lit(1)).cast("bigint")
@@ -71,7 +31,7 @@ def _rank(p: Column, n: Column) -> Column:
 
 def sketch(codes: DataFrame, by: Sequence[str], width: int, bits: int = DIGIT) -> DataFrame:
     """The histogram of the leading ``bits`` bits of ``code`` by group: by, digit, n. Sketches of parts add up."""
-    return codes.groupBy(*by, F.shiftright("code", width - bits).alias("digit")).agg(F.count("*").alias("n"))
+    return radix.histogram(codes, by, width, bits)
 
 
 def merge(sketches: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -79,16 +39,6 @@ def merge(sketches: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return sketches.groupBy(*by, "digit").agg(F.sum("n").alias("n"))
 
 
-def _follow(hist: DataFrame, by: Sequence[str], targets: Column) -> DataFrame:
-    """The digit of each target rank: by, p, rest (the rank within the digit), digit, n_all, n (in the digit)."""
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    upto = F.sum("n").over(group.orderBy("digit").rowsBetween(Window.unboundedPreceding, 0))
-    at = hist.withColumns({"_upto": upto, "_all": F.sum("n").over(group)})
-    hit = F.filter(targets, lambda t: (t["rank"] > F.col("_upto") - F.col("n")) & (t["rank"] <= F.col("_upto")))
-    rows = at.select(*by, "digit", "n", "_upto", "_all", F.explode(hit).alias("t"))
-    return rows.select(*by, F.col("t.p").alias("p"), (F.col("t.rank") - F.col("_upto") + F.col("n")).alias("rest"), "digit", F.col("_all").alias("n_all"), "n")
-
-
 def _first_targets(probs: Sequence[float]) -> Column:
     return F.array(*[F.struct(F.lit(float(p)).alias("p"), _rank(F.lit(float(p)), F.col("_all")).alias("rank")) for p in probs])
 
@@ -97,7 +47,7 @@ def _bounds(found: DataFrame, by: Sequence[str], width: int, known_bits: int) ->
     left = width - known_bits
     low = F.shiftleft(F.col("digit").cast("bigint"), left)
     high = low + F.lit((1 << left) - 1)
-    return found.select(*by, "p", _decode(low, width).alias("low"), _decode(high, width).alias("high"), F.col("n_all").alias("n"))
+    return found.select(*by, "p", radix.decode(low, width).alias("low"), radix.decode(high, width).alias("high"), F.col("n_all").alias("n"))
 
 
 def sketch_percentiles(sketches: DataFrame, by: Sequence[str], width: int, probs: Sequence[float] = PROBS, bits: int = DIGIT) -> DataFrame:
@@ -105,7 +55,7 @@ def sketch_percentiles(sketches: DataFrame, by: Sequence[str], width: int, probs
 
     A group without values gives no row.
     """
-    return _bounds(_follow(sketches, by, _first_targets(probs)), by, width, bits)
+    return _bounds(radix.follow(sketches, by, _first_targets(probs)), by, width, bits)
 
 
 def radix_percentiles(codes: DataFrame, by: Sequence[str], width: int, probs: Sequence[float] = PROBS, digits: int | None = None, first: DataFrame | None = None) -> DataFrame:
@@ -116,26 +66,7 @@ def radix_percentiles(codes: DataFrame, by: Sequence[str], width: int, probs: Se
     of the group's values at or below it. A null group is a group like others; an empty table gives an empty result.
     """
     digits = width // DIGIT if digits is None else digits
-    hist = sketch(codes, by, width) if first is None else first
-    found = _follow(hist, by, _first_targets(probs))
-    for d in range(1, digits):
-        found = materialize(found.select(*by, "p", "rest", "digit", "n_all", F.col("n").alias("n_in")))
-        shift = width - DIGIT * (d + 1)
-        wanted = found.select(*by, F.col("digit").alias("_prefix")).distinct()
-        if found.count() <= MAX_BROADCAST:
-            wanted = F.broadcast(wanted)
-        values = codes.withColumn("_prefix", F.shiftright("code", shift + DIGIT))
-        same = [values[c].eqNullSafe(wanted[c]) for c in by] + [values["_prefix"] == wanted["_prefix"]]
-        kept = values.join(wanted, reduce(lambda a, b: a & b, same), "left_semi")
-        next_digit = kept.groupBy(*by, "_prefix", F.shiftright("code", shift).alias("digit")).agg(F.count("*").alias("n"))
-        ranks = found.groupBy(*by, F.col("digit").alias("_prefix")).agg(F.collect_list(F.struct("p", F.col("rest").alias("rank"))).alias("_targets"), F.max("n_all").alias("_n_all"))
-        pair = [next_digit[c].eqNullSafe(ranks[c]) for c in by] + [next_digit["_prefix"] == ranks["_prefix"]]
-        joined = next_digit.join(ranks, reduce(lambda a, b: a & b, pair)).select(*[next_digit[c] for c in by], next_digit["_prefix"], "digit", "n", "_targets", "_n_all")
-        upto = F.sum("n").over(Window.partitionBy(*by, "_prefix").orderBy("digit").rowsBetween(Window.unboundedPreceding, 0))
-        hit = F.filter("_targets", lambda t: (t["rank"] > F.col("_upto") - F.col("n")) & (t["rank"] <= F.col("_upto")))
-        rows = joined.withColumn("_upto", upto).select(*by, "digit", "n", "_upto", "_n_all", F.explode(hit).alias("t"))
-        found = rows.select(*by, F.col("t.p").alias("p"), (F.col("t.rank") - F.col("_upto") + F.col("n")).alias("rest"), "digit", F.col("_n_all").alias("n_all"), "n")
-    return _bounds(found, by, width, DIGIT * digits)
+    return _bounds(radix.select(codes, by, width, _first_targets(probs), digits, first), by, width, DIGIT * digits)
 
 
 def property_codes(particle_mem: DataFrame) -> DataFrame:
@@ -144,14 +75,14 @@ def property_codes(particle_mem: DataFrame) -> DataFrame:
     Null and NaN are no values; infinities are, at the ends. Of copies that differ the smallest property counts.
     """
     once = particle_mem.groupBy("epoch", "src_rank", "seq").agg(F.min("indexed_prop").alias("x"))
-    return once.filter("x IS NOT NULL AND NOT isnan(x)").select("epoch", "src_rank", encode(F.col("x"), 32).alias("code"))
+    return once.filter("x IS NOT NULL AND NOT isnan(x)").select("epoch", "src_rank", radix.encode(F.col("x"), 32).alias("code"))
 
 
 def bound_codes(bounds: DataFrame) -> DataFrame:
     """The coded values of bounds, each stored row once: epoch, stage, code. Unset ends, null and NaN are no values."""
     rows = bounds.select("epoch", "round_no", "stage", "node", "pbidx", "b_value", "b_far_end", "is_start", "received_ts").distinct()
     kept = rows.filter(F.col("b_value").isNotNull() & ~F.isnan("b_value") & ~F.col("b_value").isin(*UNSET))
-    return kept.select("epoch", "stage", encode(F.col("b_value"), 64).alias("code"))
+    return kept.select("epoch", "stage", radix.encode(F.col("b_value"), 64).alias("code"))
 
 
 def _named(found: DataFrame, field: str, by: str | None) -> DataFrame:
@@ -162,7 +93,8 @@ def _named(found: DataFrame, field: str, by: str | None) -> DataFrame:
 def all_percentiles(particle_mem: DataFrame, bounds: DataFrame, probs: Sequence[float] = PROBS) -> DataFrame:
     """Exact percentiles of indexed_prop by epoch, by src_rank and of the run, of b_value by epoch, by stage and of the run.
 
-    The run's first digit comes from the merged histograms of its epochs.
+    All groupings of a field are followed together, digit by digit. The first digits of the run come from the merged
+    histograms of its epochs.
     """
     parts = []
     for field, codes, width, groupings in (
@@ -170,10 +102,13 @@ def all_percentiles(particle_mem: DataFrame, bounds: DataFrame, probs: Sequence[
         ("b_value", bound_codes(bounds), 64, ("epoch", "stage")),
     ):
         table = materialize(codes)
-        by_epoch = materialize(sketch(table, ["epoch"], width))
-        for by in groupings:
-            parts.append(_named(radix_percentiles(table, [by], width, probs, first=by_epoch if by == "epoch" else None), field, by))
-        parts.append(_named(radix_percentiles(table, [], width, probs, first=merge(by_epoch)), field, None))
+        groups = [F.struct(F.lit(g).alias("grouping"), (F.col(g) if g != "run" else F.lit(None)).cast("bigint").alias("group_id")) for g in (*groupings, "run")]
+        own = table.select("code", F.explode(F.array(*groups[:-1])).alias("g")).select("g.grouping", "g.group_id", "code")
+        first = materialize(sketch(own, ["grouping", "group_id"], width))
+        run = merge(first.filter(F.col("grouping") == groupings[0])).select(F.lit("run").alias("grouping"), F.lit(None).cast("bigint").alias("group_id"), "digit", "n")
+        every = table.select("code", F.explode(F.array(*groups)).alias("g")).select("g.grouping", "g.group_id", "code")
+        found = radix_percentiles(every, ["grouping", "group_id"], width, probs, first=first.unionByName(run))
+        parts.append(found.select(F.lit(field).alias("field"), "grouping", "group_id", "p", "low", "high", "n"))
     return reduce(DataFrame.unionByName, parts)
 
 

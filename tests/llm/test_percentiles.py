@@ -7,13 +7,14 @@ import numpy as np
 import pytest
 
 from rangeloom.llm import percentiles as P
+from rangeloom.operators import radix
 
 PROBS = (0.0, 0.01, 0.25, 0.5, 0.9, 1.0)
 
 
 def coded(spark, rows, width):
     df = spark.createDataFrame(rows, f"g int, x {'float' if width == 32 else 'double'}")
-    return df.select("g", P.encode(df["x"], width).alias("code")).cache()
+    return df.select("g", radix.encode(df["x"], width).alias("code")).cache()
 
 
 def exact(values, p):
@@ -58,7 +59,7 @@ def test_fewer_digits_bound_the_answer(spark):
 
 
 def test_followed_digits_by_shuffle(spark, monkeypatch):
-    monkeypatch.setattr(P, "MAX_BROADCAST", 0)
+    monkeypatch.setattr(radix, "MAX_BROADCAST", 0)
     rows = [(i % 3, float(i)) for i in range(100)]
     got = {(r["g"], r["p"]): r["low"] for r in P.radix_percentiles(coded(spark, rows, 32), ["g"], 32, (0.5,)).collect()}
     assert got == {(g, 0.5): exact([x for h, x in rows if h == g], 0.5) for g in range(3)}
