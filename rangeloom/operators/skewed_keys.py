@@ -4,9 +4,10 @@ Keys are never shuffled row by row. Every input split turns its rows into dense
 over dictionary codes), and only array blocks travel: they are summed by a reduction tree whose groups have a
 bounded number of blocks. A task's work thus depends on the size of its split, not on how often a key occurs.
 
-Where the keys form a small dictionary (ranks), codes are the keys' places in it. Where they don't (floats), the
-dictionary is built by halves: the high 16 bits of an order-preserving code are counted first, and only the high
-halves that can hold a heavy key get a dense array for the low 16 bits.
+Whole-number keys (ranks) are coded by ranges of BLOCK keys: a block's number and a place in its array, so a dictionary
+of any size needs no broadcast. Where only heavy keys are wanted (also floats), the dictionary is built by halves:
+the high 16 bits of an order-preserving code are counted first, and only the high halves that can hold a heavy key get
+a dense array for the low 16 bits.
 """
 
 from __future__ import annotations
@@ -20,14 +21,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rangeloom.config import materialize
+
 BLOCK = 512
 HALF = 1 << 16
-#: A dictionary of at most so many keys is broadcast; beyond that Spark's own two-step aggregation takes over.
-MAX_DICTIONARY = 1_000_000
+#: A block of keys in which fewer are used is handed on key by key instead of as arrays.
+THIN = 32
 #: So many blocks, of 4 KB each, are summed in one group of the reduction tree.
 FAN_IN = 256
-#: So many accumulator arrays are held by a task before it hands on their blocks.
-MAX_ARRAYS = 128
+#: So many bytes of accumulator arrays are held by a task before it hands on their blocks.
+MAX_BYTES = 64 << 20
 
 _BLOCKS = "grp bigint, block int, part int, counts array<bigint>"
 
@@ -52,39 +55,54 @@ def int_of(code: np.ndarray) -> np.ndarray:
 
 
 class _Dense:
-    """Accumulator arrays by group; ``take`` hands on the blocks of them that hold anything."""
+    """Accumulator arrays by group, made of blocks of BLOCK slots that exist where anything was counted; ``take`` hands them on."""
 
     def __init__(self, width: int) -> None:
-        self.width, self.arrays = width, {}
+        self.width, self.at, self.blocks, self.used = width, {}, np.zeros((64, BLOCK), np.int64), 0
 
     def add(self, group: np.ndarray, code: np.ndarray, value: np.ndarray | None = None) -> None:
-        for g in np.unique(group):
-            at = self.arrays.setdefault(int(g), np.zeros(self.width, np.int64))
-            hit = group == g
-            if value is None:
-                at += np.bincount(code[hit], minlength=self.width)
-            else:
-                np.add.at(at, code[hit], value[hit])
-
-    def take(self, least: int = 0) -> Iterator[pa.RecordBatch]:
-        if len(self.arrays) <= least:
+        """Scatter values (1 each, where none are given) into the arrays of their groups."""
+        if not len(code):
+            return
+        per = -(-self.width // BLOCK)
+        number = group.astype(np.int64) * per + (code.astype(np.int64) // BLOCK)
+        known, inverse = np.unique(number, return_inverse=True)
+        places = np.array([self._place(n) for n in known.tolist()])
+        slot = inverse * BLOCK + code.astype(np.int64) % BLOCK
+        if value is None:
+            counts = np.bincount(slot, minlength=len(known) * BLOCK)
+        else:
+            counts = np.zeros(len(known) * BLOCK, np.int64)
+            np.add.at(counts, slot, value)
+        self.blocks[places] += counts.reshape(-1, BLOCK)
+
+    def _place(self, number: int) -> int:
+        if number not in self.at:
+            if self.used == len(self.blocks):
+                self.blocks = np.concatenate([self.blocks, np.zeros_like(self.blocks)])
+            self.at[number] = self.used
+            self.used += 1
+        return self.at[number]
+
+    def take(self, least_bytes: int = -1) -> Iterator[pa.RecordBatch]:
+        """The blocks that hold anything, if the arrays take more than ``least_bytes``; they are empty afterwards."""
+        if self.used * BLOCK * 8 <= least_bytes or not self.used:
             return
-        part = TaskContext.get().partitionId()
-        for g, counts in self.arrays.items():
-            padded = np.zeros(-(-self.width // BLOCK) * BLOCK, np.int64)
-            padded[: self.width] = counts
-            blocks = padded.reshape(-1, BLOCK)
-            used = np.flatnonzero(blocks.any(axis=1))
+        part, per = TaskContext.get().partitionId(), -(-self.width // BLOCK)
+        numbers = np.fromiter(self.at, np.int64, len(self.at))
+        kept = np.flatnonzero(self.blocks[: self.used].any(axis=1))
+        for i in range(0, len(kept), FAN_IN):
+            some = kept[i : i + FAN_IN]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.full(len(used), g), pa.int64()),
-                    pa.array(used, pa.int32()),
-                    pa.array(np.full(len(used), part), pa.int32()),
-                    pa.ListArray.from_arrays(np.arange(0, (len(used) + 1) * BLOCK, BLOCK, dtype=np.int32), blocks[used].ravel()),
+                    pa.array(numbers[some] // per, pa.int64()),
+                    pa.array(numbers[some] % per, pa.int32()),
+                    pa.array(np.full(len(some), part), pa.int32()),
+                    pa.ListArray.from_arrays(np.arange(0, (len(some) + 1) * BLOCK, BLOCK, dtype=np.int32), self.blocks[some].ravel()),
                 ],
                 ["grp", "block", "part", "counts"],
             )
-        self.arrays.clear()
+        self.at, self.blocks, self.used = {}, np.zeros((64, BLOCK), np.int64), 0
 
 
 def _sum_block(table: pa.Table) -> pa.Table:
@@ -150,7 +168,7 @@ def heavy_keys(df: DataFrame, group_col: str, int_cols: list[str], float_cols: l
         for batch in batches:
             for group, code in coded(batch):
                 dense.add(group, code >> 16)
-            yield from dense.take(MAX_ARRAYS)
+            yield from dense.take(MAX_BYTES)
         yield from dense.take()
 
     names = [(i * n_fields + k, g, f, totals[g]) for i, g in enumerate(groups) for k, f in enumerate(fields)]
@@ -170,7 +188,7 @@ def heavy_keys(df: DataFrame, group_col: str, int_cols: list[str], float_cols: l
                 at = np.minimum(np.searchsorted(halves, key), len(halves) - 1)
                 hit = halves[at] == key
                 dense.add(at[hit], (code & (HALF - 1))[hit])
-            yield from dense.take(MAX_ARRAYS)
+            yield from dense.take(MAX_BYTES)
         yield from dense.take()
 
     half = F.broadcast(df.sparkSession.createDataFrame([(i, int(h) >> 16, int(h) % HALF) for i, h in enumerate(halves)], "half bigint, grp bigint, high bigint"))
@@ -196,43 +214,93 @@ def heavy_particles(particle_mem: DataFrame, share: float = 0.05) -> DataFrame:
     return found.mapInPandas(named, "epoch int, field string, key_val bigint")
 
 
+_TOTALS = "g bigint, block bigint, part int, counts array<bigint>, key bigint, n bigint, total bigint"
+
+
+class _Totals:
+    """Counts and sums by group and key, in arrays over blocks of BLOCK keys that exist where a key was seen."""
+
+    def __init__(self) -> None:
+        self.at, self.n, self.total = {}, np.zeros((64, BLOCK), np.int64), np.zeros((64, BLOCK), np.int64)
+
+    def add(self, group: np.ndarray, key: np.ndarray, value: np.ndarray) -> None:
+        block = key >> 9
+        groups, of_group = np.unique(group, return_inverse=True)
+        blocks, of_block = np.unique(block, return_inverse=True)
+        pairs, pair = np.unique(of_group * len(blocks) + of_block, return_inverse=True)
+        places = np.array([self._place((int(groups[p // len(blocks)]), int(blocks[p % len(blocks)]))) for p in pairs.tolist()], np.int64)
+        slot = pair * BLOCK + (key & (BLOCK - 1))
+        self.n[places] += np.bincount(slot, minlength=len(pairs) * BLOCK).reshape(-1, BLOCK)
+        sums = np.zeros(len(pairs) * BLOCK, np.int64)
+        np.add.at(sums, slot, value)
+        self.total[places] += sums.reshape(-1, BLOCK)
+
+    def _place(self, pair: tuple[int, int]) -> int:
+        if (at := self.at.get(pair)) is None:
+            at = self.at[pair] = len(self.at)
+            if at == len(self.n):
+                self.n, self.total = (np.concatenate([x, np.zeros_like(x)]) for x in (self.n, self.total))
+        return at
+
+    def take(self, least_bytes: int = -1) -> Iterator[pa.RecordBatch]:
+        """What was added up, if the arrays take more than ``least_bytes``: arrays of full blocks, the keys of thin ones."""
+        used = len(self.at)
+        if used * BLOCK * 16 <= least_bytes or not used:
+            return
+        g, block = np.array(list(self.at), np.int64).T
+        n, total = self.n[:used], self.total[:used]
+        thin = (n > 0).sum(axis=1) < THIN
+        part, names = TaskContext.get().partitionId(), ["g", "block", "part", "counts", "key", "n", "total"]
+        full = np.flatnonzero(~thin)
+        for i in range(0, len(full), FAN_IN):
+            some = full[i : i + FAN_IN]
+            both = np.hstack([n[some], total[some]])
+            nulls = pa.nulls(len(some), pa.int64())
+            lists = pa.ListArray.from_arrays(np.arange(0, (len(some) + 1) * 2 * BLOCK, 2 * BLOCK, dtype=np.int32), both.ravel())
+            yield pa.RecordBatch.from_arrays([pa.array(g[some]), pa.array(block[some]), pa.array(np.full(len(some), part), pa.int32()), lists, nulls, nulls, nulls], names)
+        row, slot = np.nonzero(n * thin[:, None])
+        if len(row):
+            keys = pa.array((block[row] << 9) | slot)
+            yield pa.RecordBatch.from_arrays([pa.array(g[row]), pa.nulls(len(row), pa.int64()), pa.nulls(len(row), pa.int32()), pa.nulls(len(row), pa.list_(pa.int64())), keys, pa.array(n[row, slot]), pa.array(total[row, slot])], names)
+        self.__init__()
+
+
+def _sum_totals(table: pa.Table) -> pa.Table:
+    counts = table.column("counts").combine_chunks().flatten().to_numpy().reshape(-1, 2 * BLOCK).sum(axis=0)
+    return pa.table({"g": table.column("g").slice(0, 1), "block": table.column("block").slice(0, 1), "part": pa.array([table.column("part")[0].as_py() // FAN_IN], pa.int32()), "counts": pa.array([counts], pa.list_(pa.int64()))})
+
+
 def key_totals(df: DataFrame, group_col: str, key_col: str, value_col: str) -> DataFrame:
     """Rows and the sum of a whole-number column, by group and key: grp, key, n, total.
 
-    The keys' dictionary is counted first. Up to ``MAX_DICTIONARY`` keys it is broadcast, and the splits scatter their
-    rows into dense arrays of counts and sums. Beyond that the rows are aggregated by Spark's partial and final steps.
+    Every split scatters its rows into dense arrays of counts and sums over blocks of 512 keys; the blocks are summed by a
+    tree, and of blocks with few keys those keys by Spark's own partial and final sums. There may be any number of keys.
     Null keys and null groups are keys and groups of their own; null values add nothing, and a key whose values are all
     null has the total 0. An empty table gives an empty result.
     """
-    rows = df.select(F.col(f"`{group_col}`").cast("bigint").alias("g"), F.col(f"`{key_col}`").cast("bigint").alias("k"), F.col(f"`{value_col}`").cast("bigint").alias("v"))
-    known = rows.select("k").distinct()
-    if known.count() > MAX_DICTIONARY:
-        return rows.groupBy(F.col("g").alias("grp"), F.col("k").alias("key")).agg(F.count("*").alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("total"))
-    keys = sorted((r["k"] for r in known.collect()), key=lambda k: (k is None, k))
-    groups = sorted((r["g"] for r in rows.select("g").distinct().collect()), key=lambda g: (g is None, g))
-    key_at, group_at = (np.array([x for x in xs if x is not None], np.int64) for xs in (keys, groups))
-
-    def placed(column: pa.Array, at: np.ndarray) -> np.ndarray:
-        place = np.searchsorted(at, column.fill_null(0).to_numpy(zero_copy_only=False))
-        return np.where(column.is_null().to_numpy(zero_copy_only=False), len(at), place)
+    value = F.coalesce(F.col(f"`{value_col}`").cast("bigint"), F.lit(0).cast("bigint"))
+    rows = df.select(F.col(f"`{group_col}`").cast("bigint").alias("g"), F.col(f"`{key_col}`").cast("bigint").alias("k"), value.alias("v"))
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dense = _Dense(len(keys))
+        sums = _Totals()
         for batch in batches:
-            g, k = placed(batch.column(0), group_at), placed(batch.column(1), key_at)
-            dense.add(g * 2, k)
-            dense.add(g * 2 + 1, k, batch.column(2).fill_null(0).to_numpy(zero_copy_only=False))
-            yield from dense.take(MAX_ARRAYS)
-        yield from dense.take()
-
-    spark = df.sparkSession
-    of_group = F.broadcast(spark.createDataFrame(list(enumerate(groups)), "gi bigint, grp bigint"))
-    of_key = F.broadcast(spark.createDataFrame(list(enumerate(keys)), "code bigint, key bigint"))
-    entries = sum_blocks(rows.mapInArrow(scatter, _BLOCKS)).select("grp", "block", F.posexplode("counts").alias("slot", "x")).filter(F.col("x") != 0)
-    both = entries.groupBy(F.shiftright("grp", 1).alias("gi"), (F.col("block") * BLOCK + F.col("slot")).cast("bigint").alias("code")).agg(
-        F.sum(F.when(F.col("grp") % 2 == 0, F.col("x")).otherwise(0)).alias("n"), F.sum(F.when(F.col("grp") % 2 == 1, F.col("x")).otherwise(0)).alias("total")
-    )
-    return both.join(of_group, "gi").join(of_key, "code").select("grp", "key", "n", "total")
+            if batch.num_rows:
+                sums.add(*(c.to_numpy(zero_copy_only=False) for c in batch.columns))
+                yield from sums.take(MAX_BYTES)
+        yield from sums.take()
+
+    whole = rows.filter("g IS NOT NULL AND k IS NOT NULL")
+    parts = materialize(whole.mapInArrow(scatter, _TOTALS))
+    blocks = parts.filter("counts IS NOT NULL").select("g", "block", "part", "counts")
+    for branch in (F.floor(F.col("part") / FAN_IN), F.lit(0)):
+        blocks = blocks.groupBy("g", "block", branch.alias("branch")).applyInArrow(_sum_totals, "g bigint, block bigint, part int, counts array<bigint>")
+    slots = blocks.select("g", "block", F.posexplode(F.slice("counts", 1, BLOCK)).alias("slot", "n"), "counts").filter("n > 0")
+    dense = slots.select("g", F.shiftleft("block", 9).bitwiseOR(F.col("slot").cast("bigint")).alias("key"), "n", F.get("counts", F.col("slot") + BLOCK).alias("total"))
+    thin = parts.filter("counts IS NULL").select("g", "key", "n", "total")
+    # the few rows without a group or a key are summed before the shuffle
+    nulls = rows.filter("g IS NULL OR k IS NULL").groupBy("g", F.col("k").alias("key")).agg(F.count("*").alias("n"), F.sum("v").alias("total"))
+    every = dense.unionByName(thin).unionByName(nulls)
+    return every.groupBy(F.col("g").alias("grp"), "key").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
 
 
 def once(particle_mem: DataFrame) -> DataFrame:

@@ -8,11 +8,17 @@ range: records at the rank whose key range holds them, sorted by key.
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
+from rangeloom.config import materialize
 from rangeloom.functions.scalar import hash_rank
 from rangeloom.operators.placement import place_by_hash, place_by_range
 
@@ -24,14 +30,52 @@ MANIFEST_KEYS = (
 
 
 def running_offset(length: Column, by: Sequence[str], order: Sequence[str]) -> Column:
-    """Where each record begins in its source's log: the lengths of all before it."""
+    """Where each record begins in its source's log: the lengths of all before it. For groups of bounded size."""
     before = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return F.coalesce(F.sum(length).over(before), F.lit(0)).cast("bigint")
 
 
+def with_running_sum(df: DataFrame, value: Column, name: str, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """``df`` with the sum of ``value`` over all earlier rows of the group; no group is summed in one task.
+
+    Rows are sorted by range over all tasks; each task sums its own rows as they stream by, and one row a task and group carries
+    the sums from task to task. ``order`` has to be unique within a group for a result that is always the same.
+    """
+    rows = df.withColumn("_v", value.cast("bigint")).repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
+    schema = StructType([*rows.schema.fields, StructField("_p", IntegerType()), StructField("_s", LongType())])
+    keys, columns = list(by), df.columns
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, carry = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v = np.nan_to_num(batch.column("_v").fill_null(0).to_numpy(zero_copy_only=False)).astype(np.int64)
+            codes = [batch.column(k).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False) for k in keys]
+            new = np.flatnonzero(reduce(np.logical_or, [c[1:] != c[:-1] for c in codes], np.zeros(len(v) - 1, bool))) + 1
+            first = tuple(batch.column(k)[0].as_py() for k in keys)
+            total = np.cumsum(v) - v
+            # each group begins at 0, the first one where the last batch ended
+            base = np.zeros(len(v), np.int64)
+            starts = np.concatenate([[0], new])
+            base[starts] = np.diff(np.concatenate([[0], total[starts]]))
+            total = total - np.cumsum(base)
+            if first == last:
+                total[: new[0] if len(new) else len(v)] += carry
+            last, carry = tuple(batch.column(k)[-1].as_py() for k in keys), int(total[-1] + v[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(v), part), pa.int32()), pa.array(total, pa.int64())], [*batch.schema.names, "_p", "_s"])
+
+    own = materialize(rows.mapInArrow(summed, schema))
+    ends = own.groupBy(*by, "_p").agg(F.sum("_v").alias("_t"))
+    line = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    before = ends.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], F.col("_p").alias("_q"), F.coalesce(F.sum("_t").over(line), F.lit(0)).alias("_b"))
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)] + [F.col("_p") == F.col("_q")]
+    return own.join(before, reduce(lambda a, b: a & b, same)).select(*columns, (F.col("_s") + F.col("_b")).alias(name))
+
+
 def separate(df: DataFrame, ranks: int, order: Sequence[str], radix: int = 0) -> tuple[DataFrame, DataFrame]:
     """Keys and payloads apart: the log (src_rank, epoch, offset, payload) and the index (epoch, rank, name, src_rank, offset)."""
-    logged = df.withColumn("offset", running_offset(F.octet_length("payload"), ["rank"], ["epoch", *order])).withColumnRenamed("rank", "src_rank")
+    logged = with_running_sum(df, F.octet_length("payload"), "offset", ["rank"], ["epoch", *order]).withColumnRenamed("rank", "src_rank")
     log = logged.select("src_rank", "epoch", "offset", "payload")
     index = place_by_hash(logged, "name", ranks, radix, "rank").select("epoch", "rank", "name", "src_rank", "offset")
     return log, index
@@ -59,7 +103,8 @@ def write_store(df: DataFrame, path: str, layout: str, ranks: int, order: Sequen
     root, options = path.rstrip("/"), dict(options or {})
 
     def save(rows: DataFrame, name: str, sort: Sequence[str]) -> None:
-        moved = rows.repartition("epoch", "rank").sortWithinPartitions("epoch", "rank", *sort)
+        # a rank that holds much is spread over several files, each with a range of the sort key
+        moved = rows.repartitionByRange("epoch", "rank", *sort).sortWithinPartitions("epoch", "rank", *sort)
         moved.write.options(**options).partitionBy("epoch", "rank").mode("errorifexists").parquet(f"{root}/{name}")
 
     if layout == "inline":
@@ -108,7 +153,9 @@ def parse_manifest(lines: Sequence[str]) -> dict[str, str]:
 
 
 def read_manifest(spark: SparkSession, path: str) -> dict[str, str]:
-    return parse_manifest([r["value"] for r in spark.read.text(path).limit(1000).collect()])
+    """The fields of a manifest; lines of other keys are left out before any come to the driver."""
+    known = F.trim(F.substring_index("value", "=", 1)).isin(*MANIFEST_KEYS, "fmt")
+    return parse_manifest([r["value"] for r in spark.read.text(path).filter(known).distinct().collect()])
 
 
 def manifest_json(fields: Mapping[str, object]) -> str:

@@ -66,7 +66,7 @@ def test_clashing_columns_are_ignored(spark):
 
 
 def test_many_arrays_are_handed_on(spark, monkeypatch):
-    monkeypatch.setattr(sk, "MAX_ARRAYS", 2)
+    monkeypatch.setattr(sk, "MAX_BYTES", 8192)
     rows = [(e, 0, i, None, 0.25 * e, 1, e, None) for e in range(9) for i in range(30)]
     df = spark.createDataFrame(rows, SCHEMA)
     assert sk.heavy_particles(df).count() == 18
@@ -74,7 +74,7 @@ def test_many_arrays_are_handed_on(spark, monkeypatch):
 
 @pytest.mark.parametrize("limit", [1_000_000, 2])
 def test_key_totals(spark, monkeypatch, limit):
-    monkeypatch.setattr(sk, "MAX_DICTIONARY", limit)
+    monkeypatch.setattr(sk, "THIN", limit)
     rows = rows_of(1500, random.Random(8))
     df = spark.createDataFrame(rows, SCHEMA)
     got = {(r["grp"], r["key"]): (r["n"], r["total"]) for r in sk.key_totals(df, "epoch", "shuffle_dest", "buf_sz").collect()}

@@ -277,3 +277,24 @@ def test_written_tables_and_their_removal(spark):
     assert os.path.isdir(folder)
     clean(spark)
     assert not os.path.exists(folder)
+
+
+@pytest.mark.parametrize("rows_a_batch", ["10000", "3"])
+def test_running_sums_over_many_tasks(spark, rows_a_batch):
+    """One group holds most rows, and its sums go on from task to task."""
+    import random
+
+    rng = random.Random(3)
+    rows = [(rng.choice([1, 1, 1, 1, 2, None]), i, rng.choice([0, 5, 7, None])) for i in range(700)] + [(3, 0, 4)]
+    df = spark.createDataFrame(rows, "g int, i int, v int").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_a_batch)
+    try:
+        got = {(r["g"], r["i"]): r["s"] for r in stores.with_running_sum(df, F.col("v"), "s", ["g"], ["i"]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want, upto = {}, {}
+    for g, i, v in rows:
+        want[g, i] = upto.get(g, 0)
+        upto[g] = upto.get(g, 0) + (v or 0)
+    assert got == want
+    assert stores.with_running_sum(df.limit(0), F.col("v"), "s", ["g"], ["i"]).count() == 0
