@@ -124,3 +124,40 @@ def materialize(df: DataFrame, partition_by: Iterable[str] = ()) -> DataFrame:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+
+
+class SharedFiles:
+    """Small files below a folder of any file system that Spark reaches; paths without a scheme are in the default one."""
+
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self._jvm, self._root = spark._jvm, root.rstrip("/")
+        self._fs = self._at("").getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _at(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self._root}/{name}" if name else self._root)
+
+    def exists(self, name: str) -> bool:
+        return self._fs.exists(self._at(name))
+
+    def names(self, folder: str) -> list[str]:
+        """The names of what is in a folder; none where it does not exist."""
+        return [f.getPath().getName() for f in self._fs.listStatus(self._at(folder))] if self.exists(folder) else []
+
+    def read(self, name: str) -> str:
+        stream = self._fs.open(self._at(name))
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def write(self, name: str, text: str) -> None:
+        """Write a file as a whole: under another name first, so that a reader never sees a part of it."""
+        part = self._at(f"{name}.part")
+        stream = self._fs.create(part, True)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+        self._fs.delete(self._at(name), False)
+        if not self._fs.rename(part, self._at(name)):
+            raise OSError(f"cannot write {name}")

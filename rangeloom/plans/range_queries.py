@@ -532,7 +532,7 @@ def generated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _adaptive(spark: SparkSession, sf_dir: str, policy, cuts: tuple[float, ...] = ()) -> DataFrame:
     """The epochs in order, each cut into batches by arrival (orders' keys) at the given shares of the whole."""
     path = f"{shared_dir(spark)}/adaptive/{uuid.uuid4().hex}"
-    own = AdaptivePartitioner(spark, path.removeprefix("file:").replace("///", "/"), RANKS, policy, (32, 32, 32))
+    own = AdaptivePartitioner(spark, path, RANKS, policy, (32, 32, 32))
     line = line_particles(spark, sf_dir)
     low, high = line.agg(F.min("l_orderkey"), F.max("l_orderkey")).first()
     part = sum((F.when(F.col("l_orderkey") > low + c * (high - low), 1).otherwise(0) for c in cuts), F.lit(0)) if low is not None else F.lit(0)

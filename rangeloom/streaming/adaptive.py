@@ -10,7 +10,6 @@ tables by batch, so a batch that is run again writes the same again.
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 from typing import Protocol
@@ -19,11 +18,14 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rangeloom.config import RunConfig
+from rangeloom.config import RunConfig, SharedFiles
 from rangeloom.functions import kernels
 from rangeloom.functions.edges import as_float32, bin_index, out_of_bounds
 from rangeloom.operators.pivots import pivots_from_keys, tree_pivots
 
+#: A round takes about so many keys of each rank at most; more are sampled, as pivots of a sample are what a round is for.
+PIVOT_KEYS = 100_000
+
 
 @dataclass
 class State:
@@ -123,28 +125,24 @@ class AdaptivePartitioner:
             raise ValueError("late must be 'keep' or 'current'")
         kernels.tree_fanout(ranks)
         self.spark, self.path, self.ranks, self.policy, self.pivots, self.late = spark, path.rstrip("/"), ranks, policy, tuple(pivots), late
-        os.makedirs(f"{self.path}/state", exist_ok=True)
+        self._files = SharedFiles(spark, self.path)
 
     def state(self, before: int | None = None) -> State:
         """The state after the last batch (before a given one)."""
-        done = sorted(int(f[:-5]) for f in os.listdir(f"{self.path}/state") if f.endswith(".json"))
+        done = sorted(int(f[:-5]) for f in self._files.names("state") if f.endswith(".json"))
         done = [b for b in done if before is None or b < before]
-        if not done:
-            return State()
-        with open(f"{self.path}/state/{done[-1]:012d}.json") as f:
-            return State.from_json(f.read())
+        return State.from_json(self._files.read(f"state/{done[-1]:012d}.json")) if done else State()
 
     def _save(self, state: State) -> None:
-        at = f"{self.path}/state/{state.batch:012d}.json"
-        with open(f"{at}.part", "w") as f:
-            f.write(state.to_json())
-        os.replace(f"{at}.part", at)
+        self._files.write(f"state/{state.batch:012d}.json", state.to_json())
 
     def _waiting(self, state: State, like: DataFrame) -> DataFrame:
-        folder = f"{self.path}/waiting/batch={state.batch}"
-        if state.batch < 0 or not os.path.exists(folder):
+        folder = f"waiting/batch={state.batch}"
+        if state.batch < 0:
             return like.limit(0)
-        return self.spark.read.schema(like.schema).parquet(folder)
+        if not self._files.exists(folder):
+            raise FileNotFoundError(f"waiting records of batch {state.batch} are missing below {self.path}")
+        return self.spark.read.schema(like.schema).parquet(f"{self.path}/{folder}")
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         """One micro-batch. Its epochs are taken in order; a new epoch closes the one before."""
@@ -212,7 +210,17 @@ class AdaptivePartitioner:
             for r in inside.groupBy(bin_index(F.col("key"), state.edges).alias("bin")).count().collect():
                 held_counts[r["bin"]] += r["count"]
             keyed = keyed.filter(out_of_bounds(F.col("key"), state.edges))
-        sets = pivots_from_keys(keyed, "key", n, ["rank"])
+        # of a rank with many keys outside, a sample of PIVOT_KEYS or so by a hash stands for all, with their weight
+        sizes = {r["rank"]: r["n"] for r in keyed.groupBy("rank").agg(F.count("*").alias("n")).collect()}
+        most = max(sizes.values(), default=0)
+        if most > PIVOT_KEYS:
+            share = F.lit(1 << 30) * F.least(F.lit(1.0), F.lit(float(PIVOT_KEYS)) / F.element_at(F.create_map(*[x for r, c in sizes.items() for x in (F.lit(r), F.lit(float(c)))]), F.col("rank")))
+            sampled = keyed.filter(F.pmod(F.xxhash64(*keyed.columns), F.lit(1 << 30)) < share)
+            taken = {r["rank"]: r["n"] for r in sampled.groupBy("rank").agg(F.count("*").alias("n")).collect()}
+            of = F.element_at(F.create_map(*[x for r, c in taken.items() for x in (F.lit(r), F.lit(sizes[r] / c))]), F.col("rank"))
+            sets = pivots_from_keys(sampled, "key", n, ["rank"]).withColumn("weight", F.col("weight") * of)
+        else:
+            sets = pivots_from_keys(keyed, "key", n, ["rank"])
         if state.edges is not None and sum(held_counts):
             held, weight = kernels.combined_pivots(np.zeros(0, np.float32), state.edges, held_counts, n)
             sets = sets.unionByName(self.spark.createDataFrame([(0, held.tolist(), float(weight))], sets.schema))
@@ -234,10 +242,12 @@ class AdaptivePartitioner:
     def finish(self) -> None:
         """End the last epoch: what still waits is placed. Doing it twice changes nothing."""
         state = self.state()
-        folder = f"{self.path}/waiting/batch={state.batch}"
-        if state.batch < 0 or not os.path.exists(folder):
+        folder = f"waiting/batch={state.batch}"
+        if state.batch < 0:
             return
-        waiting = self.spark.read.parquet(folder)
+        if not self._files.exists(folder):
+            raise FileNotFoundError(f"waiting records of batch {state.batch} are missing below {self.path}")
+        waiting = self.spark.read.parquet(f"{self.path}/{folder}")
         if waiting.columns and not waiting.isEmpty():
             self._purge(waiting, state).write.mode("overwrite").parquet(f"{self.path}/assigned/batch={state.batch + 1_000_000_000}")
 
