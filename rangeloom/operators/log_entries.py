@@ -259,3 +259,73 @@ def _fields(entry: DataFrame) -> DataFrame:
 def found_entries(perflog_raw: DataFrame) -> DataFrame:
     """``entries`` without the message."""
     return entries(perflog_raw, messages=False).select("log_file", "line_no", "n_lines", "ts_ms", "log_level", "component")
+
+
+def _sql(pattern: str, group: int = 0) -> str:
+    """A pattern's group of a line in SQL; named groups and non-capturing ones are not counted."""
+    return f"regexp_extract(t, '{pattern.replace(chr(39), chr(39) * 2)}', {group})"
+
+
+def found_sql() -> str:
+    """``found_entries`` in SQL, with other patterns: each field by one of its own."""
+    level, comp = _LEVEL, _COMP
+    iso, zone = r"\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d(?:[.,]\d{1,9})?", r"(?:Z|[+-]\d\d:?\d\d)"
+    isohead, brackethead = rf"^{iso} ?{zone}?\s+", rf"^\[{iso} ?{zone}?\]\s?"
+    bracketlevel = rf"(?:-{level}-|!!! {level} !!!)\s?"
+    has = lambda pattern: f"regexp_matches(t, '{pattern}')"
+    perf = rf"^\s*(\d+(?:\.\d+)?)\s*,\s*(?:\"([A-Za-z][A-Za-z0-9]*_[A-Za-z0-9_]+)\"|([A-Za-z][A-Za-z0-9]*_[A-Za-z0-9_]+))\s*(?:,|$)"
+    glog = rf"^([DIWEFC])(\d{{4}} \d\d:\d\d:\d\d(?:\.\d{{1,9}})?)\s+\d+\s+({comp})\]"
+    syslog = rf"^([A-Z][a-z]{{2}} [ \d]\d \d\d:\d\d:\d\d(?:\.\d{{1,9}})?) \S+ ({comp})(?:\[\d+\])?:\s"
+    header = HEADER.replace("?<unit>", "")
+    named = lambda keys: "coalesce(" + ", ".join(f"json_extract_string(j, '$.{k}')" for k in keys) + ")"
+    pair = lambda keys: f"replace({_sql(rf'(?:^|\s)(?:{keys})=(\"[^\"]*\"|\S*)', 1)}, '\"', '')"
+    clock = "epoch_ms(CAST(strptime(clock, '%Y-%m-%d %H:%M:%S') AS TIMESTAMP))"
+    return rf"""
+WITH l AS (
+    SELECT log_file, line_no, min(coalesce(line_text, '')) AS t, epoch_ms(min(opened_ts)) AS o FROM perflog_raw WHERE log_file IS NOT NULL AND line_no IS NOT NULL GROUP BY 1, 2
+), ahead AS (
+    SELECT *, CASE WHEN lead(line_no) OVER w = line_no + 1 THEN lead(t) OVER w ELSE '' END AS following FROM l WINDOW w AS (PARTITION BY log_file ORDER BY line_no)
+), laid AS (
+    SELECT *, CASE WHEN {has(rf"^{iso} ?{zone}?\s")} THEN 'iso' WHEN {has(rf"^\[{iso} ?{zone}?\]")} THEN 'bracket'
+        WHEN {has(r'^\{\s*"\w+"\s*:')} OR ({has(r'^\{\s*$')} AND regexp_matches(following, '^\s+"\w+"\s*:')) THEN 'json'
+        WHEN {has(glog)} THEN 'glog' WHEN {has(syslog)} THEN 'syslog'
+        WHEN {has(r'(^|\s)ts=-?\d+(\.\d+)?(\s|$)')} AND {has(r'^(ts|lvl|level|severity|comp)=\S+\s')} THEN 'pairs'
+        WHEN {has(perf)} THEN 'perf' WHEN {has(header)} THEN 'header' END AS lay FROM ahead
+), owned AS (
+    SELECT *, max(CASE WHEN lay IS NOT NULL THEN line_no END) OVER (PARTITION BY log_file ORDER BY line_no) AS owner,
+        last_value(CASE WHEN lay = 'header' THEN lower({_sql(header, 1)}) END IGNORE NULLS) OVER (PARTITION BY log_file ORDER BY line_no) AS unit_above,
+        first_value(CASE WHEN lay = 'header' THEN lower({_sql(header, 1)}) END IGNORE NULLS) OVER (PARTITION BY log_file ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS unit_any,
+        bool_or(lay = 'perf' AND contains({_sql(perf, 1)}, '.')) OVER (PARTITION BY log_file) AS pointed,
+        {has(r'^\}')} OR (lay = 'json' AND {has(r'\}\s*$')}) AS closes FROM laid
+), ends AS (
+    SELECT *, min(CASE WHEN closes THEN line_no END) OVER (PARTITION BY log_file, owner) AS closed FROM owned
+), entry AS (
+    SELECT log_file, owner AS line_no, CAST(count(*) AS INTEGER) AS n_lines, max(CASE WHEN line_no = owner THEN lay END) AS lay, max(CASE WHEN line_no = owner THEN t END) AS t,
+        max(CASE WHEN line_no = owner THEN o END) AS o, max(CASE WHEN line_no = owner THEN coalesce(unit_above, unit_any, CASE WHEN pointed THEN 's' ELSE 'ms' END) END) AS unit,
+        string_agg(CASE WHEN line_no <= coalesce(closed, line_no) THEN t END, chr(10) ORDER BY line_no) AS j FROM ends WHERE owner IS NOT NULL GROUP BY 1, 2
+), told AS (
+    SELECT * REPLACE (CASE WHEN lay = 'json' AND json_valid(j) THEN j END AS j) FROM entry WHERE lay <> 'header'
+), cut AS (
+    SELECT *, CASE lay WHEN 'iso' THEN {_sql(rf"^({iso})", 1)} WHEN 'bracket' THEN {_sql(rf"^\[({iso})", 1)} WHEN 'glog' THEN {_sql(glog, 2)} WHEN 'syslog' THEN {_sql(syslog, 1)}
+            WHEN 'pairs' THEN {_sql(r"(?:^|\s)ts=(-?\d+(?:\.\d+)?)(?:\s|$)", 1)} WHEN 'perf' THEN {_sql(perf, 1)} ELSE {named(("time", "t", "ts", "timestamp"))} END AS stamp,
+        CASE lay WHEN 'iso' THEN {_sql(rf"^{iso} ?({zone})", 1)} WHEN 'bracket' THEN {_sql(rf"^\[{iso} ?({zone})\]", 1)} WHEN 'json' THEN coalesce(regexp_extract({named(("time", "timestamp"))}, '(Z|[+-]\d\d:?\d\d)$', 1), '') ELSE '' END AS zone,
+        CASE lay WHEN 'iso' THEN coalesce(nullif({_sql(rf"{isohead}({level})\s", 1)}, ''), {_sql(rf"{isohead}\[{comp}\]\s({level})\s+-\s", 1)})
+            WHEN 'bracket' THEN regexp_extract({_sql(rf"{brackethead}({bracketlevel})", 1)}, '[A-Za-z]+') WHEN 'glog' THEN {_sql(glog, 1)}
+            WHEN 'syslog' THEN regexp_extract({_sql(rf"{syslog}(<{level}>|{level}:\s)", 3)}, '[A-Za-z]+') WHEN 'pairs' THEN {pair("lvl|level|severity")} WHEN 'perf' THEN '' ELSE {named(("level", "sev", "severity", "lvl"))} END AS level,
+        CASE lay WHEN 'iso' THEN {_sql(rf"{isohead}(?:{level}\s+)?\[({comp})\]\s?", 1)} WHEN 'bracket' THEN {_sql(rf"{brackethead}(?:{bracketlevel})?({comp}):\s", 1)} WHEN 'glog' THEN {_sql(glog, 3)} WHEN 'syslog' THEN {_sql(syslog, 2)}
+            WHEN 'pairs' THEN {pair("comp|component|src")} WHEN 'perf' THEN coalesce(nullif({_sql(perf, 2)}, ''), {_sql(perf, 3)}) ELSE {named(("component", "src", "comp"))} END AS component FROM told
+), timed AS (
+    SELECT *, strftime(make_timestamp(o * 1000), '%Y') AS y, regexp_extract(stamp, '[.,](\d+)', 1) AS fraction, regexp_matches(stamp, '^-?\d+(\.\d+)?$') AS is_number,
+        split_part(stamp, '.', 1) AS whole, rpad(substr(split_part(stamp, '.', 2), 1, 3), 3, '0') AS thousandths FROM cut
+), clocked AS (
+    SELECT *, CASE lay WHEN 'syslog' THEN y || '-' || lpad(CAST((strpos('JanFebMarAprMayJunJulAugSepOctNovDec', substr(stamp, 1, 3)) + 2) // 3 AS VARCHAR), 2, '0') || '-' || replace(substr(stamp, 5, 2), ' ', '0') || ' ' || substr(stamp, 8, 8)
+        WHEN 'glog' THEN y || '-' || substr(stamp, 1, 2) || '-' || substr(stamp, 3, 2) || ' ' || substr(stamp, 6, 8) ELSE substr(stamp, 1, 10) || ' ' || substr(stamp, 12, 8) END AS clock FROM timed
+)
+SELECT log_file, CAST(line_no AS INTEGER) AS line_no, n_lines,
+    CASE WHEN lay = 'perf' THEN o + CASE WHEN unit IN ('s', 'sec', 'seconds') THEN CAST(whole || thousandths AS BIGINT) WHEN unit IN ('us', 'usec') THEN CAST(whole AS BIGINT) // 1000 ELSE CAST(whole AS BIGINT) END
+        WHEN lay = 'pairs' OR (lay = 'json' AND is_number AND length(whole) < 12) THEN CAST(whole || thousandths AS BIGINT) WHEN lay = 'json' AND is_number THEN CAST(whole AS BIGINT)
+        ELSE {clock} + CAST(rpad(substr(fraction, 1, 3), 3, '0') AS BIGINT)
+            - CASE WHEN zone LIKE '+%' OR zone LIKE '-%' THEN (CAST(substr(zone, 2, 2) AS BIGINT) * 60 + CAST(right(zone, 2) AS BIGINT)) * CASE WHEN zone LIKE '-%' THEN -60000 ELSE 60000 END ELSE 0 END END AS ts_ms,
+    CASE upper(substr(level, 1, 1)) WHEN 'D' THEN 'DEBUG' WHEN 'T' THEN 'DEBUG' WHEN 'I' THEN 'INFO' WHEN 'N' THEN 'INFO' WHEN 'W' THEN 'WARN' WHEN 'E' THEN 'ERROR' WHEN 'F' THEN 'FATAL' WHEN 'C' THEN 'FATAL' ELSE 'NONE' END AS log_level,
+    coalesce(component, '') AS component FROM clocked
+"""

@@ -68,4 +68,5 @@ ORACLE_SQL: dict[str, str] = {
     "p4_found": archives.FOUND_SQL,
     "p4_files": archives.FILES_SQL,
     "p4_lookup": archives.LOOKUP_SQL,
+    "p5_found": log_entries.found_sql(),
 }
