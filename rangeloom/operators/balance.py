@@ -62,3 +62,12 @@ def load_suites(df: DataFrame, key: str, ranks: int, n: int, sample: int, order:
     filled = every.join(counts, ["epoch", "runtype", "dest"], "left").fillna(0, ["n"])
     result = load_stddev(filled, ["runtype", "epidx"])
     return result.select("runtype", F.lit(ranks).alias("nranks"), F.lit(n).alias("pvtcnt"), "epidx", "load_std")
+
+
+def append_suites(suites: DataFrame, path: str) -> None:
+    """Suites' rows added to a folder of CSV files with a header: runtype, nranks, pvtcnt, epidx, load_std."""
+    suites.select("runtype", "nranks", "pvtcnt", "epidx", "load_std").coalesce(1).write.mode("append").option("header", "true").csv(path)
+
+
+def read_suites(spark, path: str) -> DataFrame:
+    return spark.read.option("header", "true").schema("runtype string, nranks int, pvtcnt int, epidx int, load_std double").csv(path)

@@ -114,3 +114,26 @@ def drop_summary(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def perf_rows(df: DataFrame, at: str, stat: str, value: str) -> DataFrame:
     """Figures as rows of a performance log: ts_ms, stat_type, stat_value."""
     return df.select(F.col(at).cast("bigint").alias("ts_ms"), F.col(stat).cast("string").alias("stat_type"), F.col(value).cast("string").alias("stat_value"))
+
+
+def perf_log(df: DataFrame, at: str, stat: str, value: str, interval_ms: int = 100, by: Sequence[str] = ()) -> DataFrame:
+    """A performance log by intervals: by, ts_ms (the interval's begin), stat_type, stat_value (the last one in the interval).
+
+    Of several values at the same time the largest counts. Rows without a time or a stat are left out.
+    """
+    kept = df.filter(F.col(at).isNotNull() & F.col(stat).isNotNull())
+    begin = (F.floor(F.col(at) / interval_ms) * interval_ms).cast("bigint").alias("ts_ms")
+    last = F.max(F.struct(F.col(at), F.col(value).cast("string").alias("v"))).alias("l")
+    return kept.groupBy(*by, begin, F.col(stat).cast("string").alias("stat_type")).agg(last).select(*by, "ts_ms", "stat_type", F.col("l.v").alias("stat_value"))
+
+
+def write_monitor(df: DataFrame, path: str, epoch: str = "epoch") -> None:
+    """Figures by rank and epoch as a table, a folder an epoch, and beside it as text: one line ``name=value`` a figure, by rank.
+
+    Writing an epoch again replaces it and leaves the others.
+    """
+    root = path.rstrip("/")
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(epoch).parquet(f"{root}/bin")
+    names = [c for c in df.columns if c != epoch]
+    line = F.concat_ws(" ", *[F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in names])
+    df.select(epoch, line.alias("value")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(epoch).text(f"{root}/txt")

@@ -32,7 +32,7 @@ def place_by_hash(df: DataFrame, key: str, ranks: int, radix: int = 0, dest: str
     return df.withColumn(dest, F.lit(0) if ranks == 1 else hash_rank(F.col(key), ranks, radix))
 
 
-def place_by_ring(df: DataFrame, key: str, ranks: int, replicas: int = 128, dest: str = "dest") -> DataFrame:
+def place_by_ring(df: DataFrame, key: str, ranks: int, replicas: int = 1024, dest: str = "dest") -> DataFrame:
     """The receiving rank by consistent hashing: the owner of the next point on a ring with ``replicas`` points a rank.
 
     Adding a rank moves only the keys that it takes over. Null keys are keys like others.
@@ -66,6 +66,11 @@ def split_out_of_bounds(df: DataFrame, key: str, edges: Sequence[float] | None)
     return df.filter(~out), df.filter(out | F.col(key).isNull())
 
 
+def is_local(dest: Column, rank: Column, force_remote: bool = False) -> Column:
+    """Whether a record stays at its source, so that it needs no message; never where all have to be sent. Null without a destination."""
+    return (dest == rank) & F.lit(not force_remote)
+
+
 def to_destinations(df: DataFrame, ranks: int, dest: str = "dest") -> DataFrame:
     """Records moved so that partition i holds destination i, exactly. Records without a destination are an error."""
     sure = F.when(F.col(dest).isNull(), F.raise_error(F.lit("a record has no destination"))).otherwise(F.col(dest))

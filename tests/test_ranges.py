@@ -15,6 +15,7 @@ from rangeloom.functions import edges as E
 from rangeloom.functions import kernels as K
 from rangeloom.operators import balance, pivots, placement
 
+# Twelve known keys and their eight pivots.
 TWELVE = [0.183005, 0.261744, 0.379052, 0.130448, 0.400778, 0.327600, 0.831964, 0.363970, 1.327184, 0.193020, 2.427586, 0.213298]
 TWELVE_PIVOTS = [0.130448, 0.188728, 0.220219, 0.308784, 0.368279, 0.397674, 1.044201, 2.427586]
 
@@ -54,6 +55,7 @@ def test_golden_pivots_by_group(spark):
 
 
 def test_dedup():
+    # fixed values: nine keys of which four are kept
     nine = np.array([5, 5, 5, 5, 5, 6, 6, 7, 8], np.float32)
     assert len(K.dedup_sorted(nine)) == 4
 
@@ -264,3 +266,22 @@ def test_apportion():
     assert K.apportion([1, 2], 9) == [3, 6]
     assert sum(K.apportion([1, 1, 1], 10)) == 10
     assert K.apportion([0, 5], 4) == [0, 4]
+
+
+@pytest.mark.parametrize(("bins", "n", "keys"), [(512, 64, 0), (512, 2048, 40), (512, 4096, 700), (8, 256, 512), (1, 16, 3)])
+def test_pivots_of_large_states(bins, n, keys):
+    """Many bins, most of them empty, beside keys on both sides: as many pivots as asked, never falling, and of equal weight."""
+    rng = np.random.default_rng(bins + n)
+    # no bin is without width: all weight of such a one lies at one value
+    edges = np.cumsum(rng.gamma(2, 1, bins + 1)).astype(np.float32).astype(float)
+    weights = np.where(rng.random(bins) < 0.8, 0, rng.integers(1, 3000, bins))
+    weights[0] += 1
+    outside = np.concatenate([edges[0] - rng.gamma(1, 1, keys // 2), edges[-1] + rng.gamma(1, 5, keys - keys // 2)]).astype(np.float32)
+    got, weight = K.combined_pivots(outside, edges.tolist(), weights.tolist(), n)
+    assert len(got) == n and (np.diff(got) >= 0).all()
+    left, right = K.split_keys(outside, edges[0], edges[-1])
+    assert math.isclose(weight * (n - 1), weights.sum() + len(left) + len(right))
+    # as much weight below each pivot in the bins as its place says, to the width of what it lies in
+    below = np.interp(got, edges, np.concatenate([[0], np.cumsum(weights)])) + np.searchsorted(left, got) + np.searchsorted(right, got)
+    inside = (got > edges[0]) & (got < edges[-1])
+    assert np.allclose(below[inside], (weight * np.arange(n))[inside], atol=1e-6 * weights.sum() + 1.01)

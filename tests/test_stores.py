@@ -298,3 +298,27 @@ def test_running_sums_over_many_tasks(spark, rows_a_batch):
         upto[g] = upto.get(g, 0) + (v or 0)
     assert got == want
     assert stores.with_running_sum(df.limit(0), F.col("v"), "s", ["g"], ["i"]).count() == 0
+
+
+def test_monitor_tables_and_appended_suites(spark, tmp_path):
+    from rangeloom.operators import balance
+
+    rows = [(1, 0, 5), (1, 1, None), (2, 0, 7)]
+    df = spark.createDataFrame(rows, "epoch int, rank int, writes int")
+    out = str(tmp_path / "monitor")
+    metrics.write_monitor(df, out)
+    metrics.write_monitor(df.filter("epoch = 2").withColumn("writes", F.lit(8)), out)
+    back = spark.read.parquet(f"{out}/bin")
+    assert sorted((r["epoch"], r["rank"], r["writes"]) for r in back.collect()) == [(1, 0, 5), (1, 1, None), (2, 0, 8)]
+    assert sorted(r["value"] for r in spark.read.text(f"{out}/txt").collect()) == ["rank=0 writes=5", "rank=0 writes=8", "rank=1 writes="]
+    suite = spark.createDataFrame([("epxpp", 8, 16, 0, 0.25)], "runtype string, nranks int, pvtcnt int, epidx int, load_std double")
+    for _ in range(2):
+        balance.append_suites(suite, str(tmp_path / "suites"))
+    assert [tuple(r) for r in balance.read_suites(spark, str(tmp_path / "suites")).collect()] == [("epxpp", 8, 16, 0, 0.25)] * 2
+
+
+def test_perf_log_by_intervals(spark):
+    rows = [(5, "a", "1"), (99, "a", "2"), (100, "a", "3"), (50, "b", None), (None, "a", "9"), (7, None, "9")]
+    df = spark.createDataFrame(rows, "ms bigint, stat string, v string")
+    got = sorted(tuple(r) for r in metrics.perf_log(df, "ms", "stat", "v").collect())
+    assert got == [(0, "a", "2"), (0, "b", None), (100, "a", "3")]
