@@ -147,7 +147,7 @@ def _blocks_of(batches: Iterator[pa.RecordBatch], names: Sequence[str], block_by
             if one == tuple(c[i + 1].as_py() for c in columns):
                 raise ValueError(f"packed more than once: {one}")
         last = tuple(c[-1].as_py() for c in columns)
-        content, checksum = batch.column(1 + n), batch.column(2 + n)
+        content, checksum = batch.column(1 + n).cast(pa.binary()), batch.column(2 + n)
         ends = np.frombuffer(content.buffers()[1], np.int32)[content.offset : content.offset + len(content) + 1].astype(np.int64)
         data = memoryview(content.buffers()[2]) if content.buffers()[2] is not None else memoryview(b"")
         start = 0
