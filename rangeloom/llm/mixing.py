@@ -1,13 +1,14 @@
 """Mixing sources to target shares of the total size, over output shards.
 
 Every source's documents are spread over blocks of about BLOCK_TOKENS tokens by a hash. A source is used in whole rounds as
-often as its budget allows, and then as a prefix of its blocks in a permuted order; the last block is cut by documents. In
+often as its budget allows, and then as a prefix of its blocks in a permuted order. From the block that is cut on, documents
+are taken in order where they still fit, so that a large one doesn't end it. In
 each round the blocks are permuted by a bijection of their numbers, so nothing has to be sorted. The blocks are dealt to the
 shards by a splitting tree: the shards are halved again and again, and how many blocks of each source go to the left half
 is drawn from the multivariate hypergeometric distribution, so that every shard gets an exact, random quota of each
 source's blocks, as if all blocks had been shuffled. Each node draws by a seed of its own; TOP_NODES of the tree are made on
-the driver, everything below them in Spark. Within a shard documents are ordered by a seeded hash. The driver sees sums by source, and of
-the block that is cut its neighbours.
+the driver, everything below them in Spark. Within a shard documents are ordered by a seeded hash. The driver sees sums by source, of
+the block that is cut its neighbours, and the sizes of the documents that may fill it.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ TOP_NODES = 512
 CHUNK = 1024
 #: A plan of at most so many blocks is broadcast to the documents; beyond that they are joined by a shuffle.
 MAX_BROADCAST_BLOCKS = 200_000
+#: What is left of a budget is filled from so many blocks first, then from FILL_GROWTH times as many, until it is full or none are left.
+FILL_BLOCKS, FILL_GROWTH = 16, 4
 SEED = 42
 
 
@@ -123,6 +126,32 @@ def _cuts(parts: DataFrame, rest: Mapping[str, int]) -> dict[str, tuple[int, int
     return out
 
 
+def _filled(tail: DataFrame, cuts: Mapping[str, tuple[int, int]], blocks: Mapping[str, int]) -> list[tuple[str, int, int]]:
+    """The documents (source, doc_id, tokens) of the tail (with at, order) that are taken from the blocks that are cut on.
+
+    They are taken in order where they fit into what may still be given. What then is left is smaller than any document
+    left; the smallest of those is taken where that comes closer. What is looked at shrinks with what is left, as larger documents are left out.
+    """
+    left, low = {s: allowed for s, (_, allowed) in cuts.items()}, {s: at for s, (at, _) in cuts.items()}
+    of = lambda numbers: F.element_at(F.create_map(*[x for s in cuts for x in (F.lit(s), F.lit(numbers[s]).cast("bigint"))]), F.col("source"))
+    chosen: list[tuple[str, int, int]] = []
+    width = FILL_BLOCKS
+    while any(left[s] > 0 and low[s] < blocks[s] for s in cuts):
+        near = tail.filter((F.col("at") >= of(low)) & (F.col("at") < of(low) + width) & (F.col("tokens") <= of(left)))
+        for r in sorted(near.collect(), key=lambda r: (r["at"], r["order"], r["doc_id"])):
+            if r["tokens"] <= left[r["source"]]:
+                left[r["source"]] -= r["tokens"]
+                chosen.append((r["source"], r["doc_id"], r["tokens"]))
+        low, width = {s: at + width for s, at in low.items()}, width * FILL_GROWTH
+    if any(left.values()):
+        taken = F.broadcast(tail.sparkSession.createDataFrame(chosen, "source string, doc_id bigint, tokens bigint"))
+        least = F.min(F.struct("tokens", "order", "doc_id")).alias("d")
+        # all that fit are taken, so none left is smaller
+        for r in tail.filter((F.col("at") >= of({s: at for s, (at, _) in cuts.items()})) & (F.col("tokens") > of(left)) & (F.col("tokens") < 2 * of(left))).join(taken, ["source", "doc_id"], "left_anti").groupBy("source").agg(least).collect():
+            chosen.append((r["source"], r["d"]["doc_id"], r["d"]["tokens"]))
+    return chosen
+
+
 def mix_documents(sizes: DataFrame, mix_target: DataFrame, block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS, seed: int = SEED) -> DataFrame:
     """The mixture of (doc_id, source, tokens): shard, place, doc_id, source, copy_no, tokens.
 
@@ -157,20 +186,20 @@ def mix_documents(sizes: DataFrame, mix_target: DataFrame, block_tokens: int = B
     cuts = _cuts(drawn.filter("partly"), {s: r for s, r in rest.items() if r > 0}) if any(rest.values()) else {}
     last = of({s: cuts[s][0] if s in cuts else -1 for s in names})
     used = drawn.filter(~F.col("partly") | (F.col("at") <= last))
-    allowed = F.when(F.col("partly") & (F.col("at") == last), of({s: cuts[s][1] if s in cuts else 0 for s in names}))
-    used = used.select("source", "block", "copy_no", (F.col("base") + F.col("at")).alias("pos"), allowed.alias("allowed"))
+    used = used.select("source", "block", "copy_no", (F.col("base") + F.col("at")).alias("pos"), (F.col("partly") & (F.col("at") == last)).alias("cut"))
     quotas = [rounds[s] * blocks[s] + (cuts[s][0] + 1 if s in cuts else 0) for s in names]
     shards = min(max(LEAST_SHARDS, round(sum(given.values()) / shard_tokens)), sum(quotas))
     dealt = deal(spark, names, quotas, shards, seed).select("shard", "source", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("pos"))
-    to_shards = materialize(used.join(dealt, ["source", "pos"]).select("source", "block", "copy_no", "allowed", F.col("shard").cast("int").alias("shard")))
-    if sum(quotas) <= MAX_BROADCAST_BLOCKS:
-        to_shards = F.broadcast(to_shards)
-    chosen = placed.join(to_shards, ["source", "block"])
-    order = F.xxhash64(F.lit(seed), "copy_no", "doc_id")
-    # only the block of each source that is cut
-    within = Window.partitionBy("source", "block", "copy_no").orderBy(order, "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    cut = chosen.filter("allowed IS NOT NULL").withColumn("upto", F.sum("tokens").over(within)).filter("upto <= allowed").drop("upto")
-    chosen = chosen.filter("allowed IS NULL").unionByName(cut)
+    to_shards = materialize(used.join(dealt, ["source", "pos"]).select("source", "block", "copy_no", "cut", F.col("shard").cast("int").alias("shard")))
+    whole = to_shards.filter("NOT cut")
+    chosen = placed.join(F.broadcast(whole) if sum(quotas) <= MAX_BROADCAST_BLOCKS else whole, ["source", "block"])
+    if cuts:
+        order = F.xxhash64(F.lit(seed), "copy_no", "doc_id").alias("order")
+        at = F.pmod(F.col("factor") * F.col("block") + F.col("shift"), F.col("blocks")).alias("at")
+        filled = _filled(placed.join(each.filter("partly"), "source").select("source", "doc_id", "tokens", at, order), cuts, blocks)
+        # they go where the block that is cut goes, a row a source
+        cut = spark.createDataFrame(filled, "source string, doc_id bigint, tokens bigint").join(F.broadcast(to_shards.filter("cut")), "source")
+        chosen = chosen.unionByName(cut.select(chosen.columns))
     place = F.row_number().over(Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed + 1), "copy_no", "doc_id"), "doc_id", "copy_no"))
     return chosen.select("shard", (place - 1).alias("place"), "doc_id", "source", "copy_no", "tokens")
 

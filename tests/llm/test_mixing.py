@@ -104,6 +104,27 @@ def test_no_faults_and_what_faults_are(spark, sizes, target):
     assert found["repeats"] > 0 and found["twice"] > 0 and found["shares"] == 3 and found["places"] > 0
 
 
+@pytest.mark.parametrize("block_tokens", [20, 300, 100_000])
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_large_documents_do_not_end_a_source(spark, seed, block_tokens):
+    """A document that doesn't fit into what may still be given is passed over, and the smaller ones after it fill that."""
+    rows = [(i, "a", 500) for i in range(10)] + [(100 + i, "b", 900) for i in range(12)] + [(200 + i, "b", 10) for i in range(300)]
+    sizes = spark.createDataFrame(rows, "doc_id bigint, source string, tokens bigint")
+    target = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 2)], "source string, target_share double, max_repeats int")
+    mixture = M.mix_documents(sizes, target, block_tokens=block_tokens, seed=seed).cache()
+    assert mixture.filter("source = 'b'").agg({"tokens": "sum"}).first()[0] == 5000
+    assert not any(r["n"] for r in M.mixture_faults(mixture, sizes, target).collect())
+
+
+def test_the_smallest_left_fills_where_it_comes_closer(spark):
+    rows = [(1, "a", 900), (2, "b", 100), (3, "b", 1000), (4, "c", 100), (5, "c", 5000)]
+    sizes = spark.createDataFrame(rows, "doc_id bigint, source string, tokens bigint")
+    target = spark.createDataFrame([(s, 1 / 3, 1) for s in "abc"], "source string, target_share double, max_repeats int")
+    for seed in (1, 2, 3):
+        mixture = M.mix_documents(sizes, target, block_tokens=50, seed=seed).collect()
+        assert sorted(r["doc_id"] for r in mixture) == [1, 2, 3, 4]
+
+
 def test_nothing_to_mix(spark, sizes, target):
     assert M.mix_documents(sizes.limit(0), target).count() == 0
     assert M.mix_documents(sizes, target.limit(0)).count() == 0
