@@ -2,8 +2,8 @@
 
 Character n-gram models are fitted for each kind of residue from the seed texts below and for natural prose from all
 documents, where each wording counts once, however many documents show it. The models are fitted twice: first from the seeds
-and a sample of documents of bounded size, then from the seeds and the wordings that were found in that sample (self-training;
-SAMPLE_DOCS and LEARNED are the bounds). The log likelihood ratio of residue to prose is taken for every n-gram of every text.
+and all documents, then from the seeds, the wordings that were found in all documents and all documents again (self-training).
+The wordings learned are counted in Spark; the driver sees their n-grams' sums and their fingerprints. The log likelihood ratio of residue to prose is taken for every n-gram of every text.
 Windows of it find the lines that may hold residue; there each sentence, field value or heading is looked at by itself,
 and what is covered by positive windows over (nearly) its whole length is residue. A sentence that quotes or treats a
 notice or a field is covered in part only. What the windows find of open fields and empty values is then checked exactly: a
@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -22,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rangeloom.config import materialize
 from rangeloom.operators.skewed_keys import _BLOCKS, BLOCK, _Dense, sum_blocks
 
 ORDER = 4
@@ -42,11 +44,14 @@ LEARN_LEAST = 0.3
 #: A single word has to reach this, as headings are single words.
 WORD_LEAST = 1.5
 CHUNK_CHARS = 1_000_000
+#: Wordings are counted by so many characters at a time, which a core's cache holds.
+COUNT_CHARS = 300_000
 #: Texts drawn of each seed line, if it has so many.
 EXPANSIONS = 40
-#: About so many documents, chosen by a hash, are what the first models are fitted with and find wordings in.
+#: Nothing is sampled: this has no effect and stands for a test that sets it.
 SAMPLE_DOCS = 10_000
-#: At most so many wordings are learned, the most frequent ones, of those that at least LEAST_COPIES sample documents show.
+#: All wordings that at least LEAST_COPIES documents show are learned. Where they are more than LEARNED they weigh as much as that
+#: many, so that the seeds aren't drowned.
 LEARNED, LEAST_COPIES = 2_000, 2
 #: The kinds whose found wordings are learned. The others are words, marks and values with models that hold all of them.
 LEARNING = ("service", "script", "filler", "prompt")
@@ -383,14 +388,18 @@ def seed_texts(given: dict[str, list[str]] | None = None) -> dict[str, list[str]
     return lines
 
 
+@cache
+def _folding() -> np.ndarray:
+    """By character its fold. No character beyond the first 2 planes has a case."""
+    to = np.arange(0x110000, dtype=np.uint32)
+    to[:0x20000] = [ord(low) if len(low := chr(i).lower()) == 1 else i for i in range(0x20000)]
+    to[48:58] = 48
+    return to
+
+
 def fold(text: str) -> np.ndarray:
     """The characters of a text as numbers: lower case, digits alike. As many as the text has."""
-    low = text.lower()
-    if len(low) != len(text):
-        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    codes = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32).copy()
-    codes[(codes >= 48) & (codes <= 57)] = 48
-    return codes
+    return _folding()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
 
 
 def slots(codes: np.ndarray) -> np.ndarray:
@@ -404,6 +413,43 @@ def slots(codes: np.ndarray) -> np.ndarray:
     return (h * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - SLOT_BITS)
 
 
+def _inner(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The n-grams of texts with how often they occur, without those that reach from one text into the next, and the wordings' fingerprints."""
+    codes = fold("\n" + "\n".join(texts) + "\n")
+    grams = slots(codes)
+    own, n = np.unique(grams[(codes[1 : 1 + len(grams)] != 10) & (codes[2 : 2 + len(grams)] != 10)], return_counts=True)
+    return own, n, _wordings(codes, grams)[1]
+
+
+@dataclass
+class Learned:
+    """What all learned wordings come to: by kind their n-grams and how often those occur, the wordings' number and fingerprints."""
+
+    grams: dict[str, tuple[np.ndarray, np.ndarray]]
+    wordings: int
+    prints: np.ndarray
+
+    @classmethod
+    def of(cls, wordings: DataFrame) -> Learned:
+        """Of the rows (kind, piece), each once; they are counted where they are."""
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                by: dict[str, list[str]] = {}
+                for kind, piece in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    by.setdefault(kind, []).append(piece)
+                for kind, some in by.items():
+                    own, n, prints = _inner(some)
+                    prints = np.unique(prints)
+                    at = pa.array([LEARNING.index(kind)] * len(own) + [-1] * len(prints), pa.int32())
+                    yield pa.RecordBatch.from_arrays([at, pa.array(np.concatenate([own.astype(np.int64), prints])), pa.array(np.concatenate([n.astype(np.int64), np.zeros(len(prints), np.int64)]))], ["kind", "item", "n"])
+
+        # a row for each kind and slot, at most 1 << SLOT_BITS a kind, and 8 bytes for each wording
+        rows = wordings.select("kind", "piece").mapInArrow(count, "kind int, item bigint, n bigint").groupBy("kind", "item").agg(F.sum("n").alias("n")).toArrow()
+        kind, item, n = (rows[c].to_numpy() for c in ("kind", "item", "n"))
+        return cls({k: (item[kind == i], n[kind == i]) for i, k in enumerate(LEARNING) if (kind == i).any()}, wordings.count(), item[kind < 0])
+
+
 @dataclass
 class Seeds:
     """The n-grams of the seeds: ``place`` maps a slot to its number (the last for all others), ``share`` is by kind and number."""
@@ -414,22 +460,25 @@ class Seeds:
     prints: np.ndarray
 
     @classmethod
-    def fit(cls, texts: dict[str, list[str]] | None = None) -> Seeds:
-        """The models of the seed texts, or of other training texts by kind."""
+    def fit(cls, texts: dict[str, list[str]] | None = None, learned: Learned | None = None) -> Seeds:
+        """The models of the seed texts, or of other training texts by kind, and of what was learned."""
         texts = texts or seed_texts()
         by_kind, said = {}, []
         for kind, some in texts.items():
-            codes = fold("\n" + "\n".join(some) + "\n")
-            grams = slots(codes)
-            # those that reach from one text into the next are none
-            by_kind[kind] = grams[(codes[1 : 1 + len(grams)] != 10) & (codes[2 : 2 + len(grams)] != 10)]
+            own, n, prints = _inner(some)
+            by_kind[kind] = [(own, n)]
             if kind in LEARNING:
-                said.append(_wordings(codes, grams)[1])
-        used = np.unique(np.concatenate(list(by_kind.values())))
+                said.append(prints)
+        if learned:
+            weight = min(1.0, LEARNED / max(1, learned.wordings))
+            for kind, (own, n) in learned.grams.items():
+                by_kind[kind].append((own, n * weight))
+            said.append(learned.prints)
+        used = np.unique(np.concatenate([own for some in by_kind.values() for own, _ in some]))
         place = np.full(1 << SLOT_BITS, len(used), np.uint16 if len(used) < 1 << 16 else np.int32)
         place[used] = np.arange(len(used))
-        share = np.stack([np.bincount(place[by_kind[k]], minlength=len(used)) / len(by_kind[k]) for k in KINDS])
-        return cls(place, share, np.unique(np.concatenate(said)))
+        counts = np.stack([sum(np.bincount(place[own], n, len(used)) for own, n in by_kind[k]) for k in KINDS])
+        return cls(place, counts / counts.sum(axis=1, keepdims=True), np.unique(np.concatenate(said)))
 
     def ratios(self, prose: np.ndarray) -> np.ndarray:
         """Log likelihood ratios by kind and number, from the counts of all n-grams in prose (the last: those of no seed)."""
@@ -439,10 +488,10 @@ class Seeds:
         return np.hstack([ratio, np.full((len(KINDS), 1), UNSEEN)]).astype(np.float32)
 
 
-def _chunks(texts: list[str]) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
-    """Texts joined by line feeds, CHUNK_CHARS or so at a time, with the places where each begins and which text it is.
+def _chunks(texts: list[str], least: int | None = None) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """Texts joined by line feeds, ``least`` (else CHUNK_CHARS) characters or so at a time, with the places where each begins and which text it is.
 
-    A longer text is cut at a line's end, or, where it has none, between two characters.
+    A text longer than CHUNK_CHARS is cut at a line's end, or, where it has none, between two characters.
     """
     held, starts, whose, size = ["\n"], [], [], 1
     for i, text in enumerate(texts):
@@ -455,15 +504,18 @@ def _chunks(texts: list[str]) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
             whose.append(i)
             held += [part, "\n"]
             size += len(part) + 1
-            if size > CHUNK_CHARS:
+            if size > (least or CHUNK_CHARS):
                 yield "".join(held), np.array(starts), np.array(whose)
                 held, starts, whose, size = ["\n"], [], [], 1
     if starts:
         yield "".join(held), np.array(starts), np.array(whose)
 
 
-_STOPS = np.array([ord(c) for c in ".!?:"], np.uint32)
-_WIDE_STOPS = np.array([ord(c) for c in "。！？"], np.uint32)
+def _among(codes: np.ndarray, characters: str) -> np.ndarray:
+    out = codes == ord(characters[0])
+    for c in characters[1:]:
+        out |= codes == ord(c)
+    return out
 
 
 def _wordings(codes: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -475,17 +527,16 @@ def _wordings(codes: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndar
     space = np.flatnonzero(codes == 32)
     wide = np.flatnonzero(codes > 0x3000)
     cut = codes == 10
-    cut[space[np.isin(codes[space - 1], _STOPS)]] = True
-    cut[wide[np.isin(codes[wide], _WIDE_STOPS)]] = True
+    cut[space[_among(codes[space - 1], ".!?:")]] = True
+    cut[wide[_among(codes[wide], "。！？")]] = True
     begin = np.flatnonzero(cut)
     end = np.append(begin[1:], len(codes))
-    of_grams, of_chars = np.zeros(len(grams) + 1, np.uint64), np.zeros(len(codes) + 1, np.uint64)
-    squares = grams.astype(np.uint64)
-    np.cumsum(np.multiply(squares, squares, out=squares), out=of_grams[1:])
-    np.cumsum(codes, dtype=np.uint64, out=of_chars[1:])
+    of_grams = np.zeros(1, np.uint64) if not len(grams) else grams.astype(np.uint64)
+    np.cumsum(np.multiply(of_grams, of_grams, out=of_grams), out=of_grams)
+    of_chars = np.cumsum(codes, dtype=np.uint64)
     low = np.minimum(begin + 1, len(grams))
     high = np.maximum(np.minimum(end - ORDER + 1, len(grams)), low)
-    prints = (of_grams[high] - of_grams[low]) * np.uint64(0x9E3779B97F4A7C15) + (of_chars[end] - of_chars[begin + 1]) * np.uint64(0xD6E8FEB86659FD93)
+    prints = (of_grams[np.maximum(high, 1) - 1] - of_grams[np.maximum(low, 1) - 1]) * np.uint64(0x9E3779B97F4A7C15) + (of_chars[end - 1] - of_chars[begin]) * np.uint64(0xD6E8FEB86659FD93)
     return begin, prints.view(np.int64)
 
 
@@ -498,7 +549,7 @@ def copied_wordings(documents: DataFrame) -> dict[int, int]:
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for joined, _, _ in _chunks([t for t in batch.column(0).to_pylist() if t]):
+            for joined, _, _ in _chunks([t for t in batch.column(0).to_pylist() if t], COUNT_CHARS):
                 codes = fold(joined)
                 own, n = np.unique(_wordings(codes, slots(codes))[1], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n)], ["print", "n"])
@@ -524,10 +575,10 @@ def prose_counts(documents: DataFrame, seeds: Seeds, copies: dict[int, int] | No
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, known, part = shared.value
-        dense = _Dense(width)
-        every = np.arange(width)
+        # sums are whole numbers below 2 ** 63
+        sums, dense = np.zeros(width, np.int64), _Dense(width)
         for batch in batches:
-            for joined, _, _ in _chunks([t for t in batch.column(0).to_pylist() if t]):
+            for joined, _, _ in _chunks([t for t in batch.column(0).to_pylist() if t], COUNT_CHARS):
                 codes = fold(joined)
                 grams = slots(codes)
                 begin, own = _wordings(codes, grams)
@@ -536,8 +587,9 @@ def prose_counts(documents: DataFrame, seeds: Seeds, copies: dict[int, int] | No
                 of_gram = np.repeat(weight, np.diff(np.append(begin, len(codes))))[: len(grams)]
                 for m in MARKED.finditer(joined) if any(mark in joined for mark in _DOUBLE) else ():
                     of_gram[m.start() - 1 : m.end()] = 0
-                # sums are whole numbers below 2 ** 53
-                dense.add(np.zeros(width, np.uint8), every, np.bincount(place[grams], of_gram, width).astype(np.int64))
+                # those of a chunk are whole numbers below 2 ** 53
+                sums += np.bincount(place[grams], of_gram, width).astype(np.int64)
+        dense.add(np.zeros(width, np.uint8), np.arange(width), sums)
         yield from dense.take()
 
     blocks = sum_blocks(texts.mapInArrow(count, _BLOCKS))
@@ -583,12 +635,23 @@ def _windows(found: list[str], seeds_place: np.ndarray, ratio: np.ndarray, slack
     return cover, enough
 
 
+def _likely(found: list[str], seeds_place: np.ndarray, top: np.ndarray, lowest: float) -> list[int]:
+    """The pieces whose mean of the largest ratios is enough for any kind, as no kind reaches more than those do. The slack is for rounding."""
+    codes = fold("\n" + "\n".join(found) + "\n")
+    n = np.maximum(np.array([len(p) for p in found]) + 3 - ORDER, 1)
+    first = np.concatenate([[0], np.cumsum([len(p) + 1 for p in found])[:-1]]).astype(np.int64)
+    total = np.concatenate([[0.0], np.cumsum(top[seeds_place[slots(np.concatenate([codes, np.zeros(ORDER, np.uint32)]))]], dtype=np.float64)])
+    return np.flatnonzero((total[first + n] - total[first]) / n >= min(lowest, WORD_LEAST) - 1e-6).tolist()
+
+
 def judge(found: list[str], seeds_place: np.ndarray, ratio: np.ndarray, lowest: float = LEAST) -> list[str | None]:
     """The kind of residue that each piece is, or None."""
     if not found:
         return []
-    # no kind reaches more than the largest ratios do; the slack is for rounding
-    likely = np.flatnonzero(_windows(found, seeds_place, ratio.max(axis=0)[None], 1e-6, lowest)[1][0])
+    top = ratio.max(axis=0)
+    likely = np.array(_likely(found, seeds_place, top, lowest), np.int64)
+    if len(likely):
+        likely = likely[_windows([found[i] for i in likely.tolist()], seeds_place, top[None], 1e-6, lowest)[1][0]]
     best = np.full(len(found), -1)
     if len(likely):
         best_cover = np.zeros(len(likely))
@@ -643,10 +706,10 @@ def _checked(piece: str, kind: str | None, field_spots) -> str | None:
     return kind if kind != "empty" and _LETTERS.search(piece) and not _HEADING.fullmatch(piece) else None
 
 
-def _searched(documents: DataFrame, seeds: Seeds, ratio: np.ndarray, lowest: float = LEAST) -> DataFrame:
-    """Every piece of residue: doc_id, kind, piece, n (how often it stands in the document)."""
+def _searched(documents: DataFrame, seeds: Seeds, ratio: np.ndarray, lowest: float = LEAST, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """Every piece of residue: doc_id, kind, piece, n (how often it stands in the document). Only lines with a spot of one of the kinds are looked at."""
     # of fixed size: the seeds' n-grams
-    shared = documents.sparkSession.sparkContext.broadcast((seeds.place, ratio, ratio.max(axis=0)))
+    shared = documents.sparkSession.sparkContext.broadcast((seeds.place, ratio, ratio[[KINDS.index(k) for k in kinds]].max(axis=0)))
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         place, by_kind, top = shared.value
@@ -654,10 +717,11 @@ def _searched(documents: DataFrame, seeds: Seeds, ratio: np.ndarray, lowest: flo
             rows: dict[tuple[int, str, str], int] = {}
             ids = frame["doc_id"].tolist()
             for joined, starts, whose in _chunks([t or "" for t in frame["text"].tolist()]):
-                hits = np.flatnonzero(_runs(top[place[slots(fold(joined))]]) >= SPOT_SUM)
+                codes = fold(joined)
+                hits = np.flatnonzero(_runs(top[place[slots(codes)]]) >= SPOT_SUM)
                 if not len(hits):
                     continue
-                ends = np.flatnonzero(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32) == 10)
+                ends = np.flatnonzero(codes == 10)
                 # an n-gram may begin with the line feed before its line
                 lines = np.unique(np.searchsorted(ends, hits + 1))
                 found, owner = [], []
@@ -677,20 +741,13 @@ def _searched(documents: DataFrame, seeds: Seeds, ratio: np.ndarray, lowest: flo
 
 
 def fitted(documents: DataFrame) -> tuple[Seeds, np.ndarray]:
-    """The models and their log likelihood ratios, after self-training on a sample of bounded size."""
-    n = documents.count()
-    share = SAMPLE_DOCS / max(1, n)
-    sample = documents.select("doc_id", "text")
-    if share < 1:
-        sample = sample.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    """The models and their log likelihood ratios, after self-training on all documents."""
     copies = copied_wordings(documents)
     texts = seed_texts()
     first = Seeds.fit(texts)
-    found = _searched(sample, first, first.ratios(prose_counts(sample, first, copies)), LEARN_LEAST).filter(F.col("kind").isin(*LEARNING))
+    found = _searched(documents, first, first.ratios(prose_counts(documents, first, copies)), LEARN_LEAST, LEARNING).filter(F.col("kind").isin(*LEARNING))
     often = found.groupBy("kind", "piece").agg(F.count_distinct("doc_id").alias("n")).filter(F.col("n") >= LEAST_COPIES)
-    for r in often.orderBy(F.desc("n"), "kind", "piece").limit(LEARNED).collect():
-        texts[r["kind"]].append(r["piece"])
-    seeds = Seeds.fit(texts)
+    seeds = Seeds.fit(texts, Learned.of(materialize(often)))
     return seeds, seeds.ratios(prose_counts(documents, seeds, copies))
 
 

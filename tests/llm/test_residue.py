@@ -120,6 +120,36 @@ def test_learning_is_bounded(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in found.collect()) == list(range(0, 1000, 10))
 
 
+def prints_of(texts):
+    codes = R.fold("\n" + "\n".join(texts) + "\n")
+    return set(R._wordings(codes, R.slots(codes))[1].tolist())
+
+
+def test_all_wordings_of_all_documents_are_learned(spark, monkeypatch):
+    """However many documents and wordings there are: those that two documents of a thousand show, too."""
+    monkeypatch.setattr(R, "SAMPLE_DOCS", 20)
+    monkeypatch.setattr(R, "LEARNED", 1)
+    shown = {10: "The record you wanted could not be opened on our server.", 20: "Please sign in again to the server and retry later.", 30: "The requested record could not be opened, please retry."}
+    rows = [(i, shown.get(i // 2 * 2, "\n".join(PROSE[:7]))) for i in range(1000)]
+    seeds, _ = R.fitted(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    wanted = prints_of(shown.values())
+    assert not wanted <= set(R.Seeds.fit().prints.tolist())
+    assert wanted <= set(seeds.prints.tolist())
+
+
+def test_learned_wordings_count_as_training_texts(spark, monkeypatch):
+    more = [("service", "The shelf is closed today."), ("service", "No shelf 12"), ("prompt", "[say what it is]"), ("filler", "x"), ("filler", "to be said")]
+    texts = R.seed_texts()
+    learned = R.Learned.of(spark.createDataFrame(more, "kind string, piece string").repartition(3))
+    whole, apart = R.Seeds.fit({k: v + [p for kind, p in more if kind == k] for k, v in texts.items()}), R.Seeds.fit(texts, learned)
+    assert (whole.place == apart.place).all() and np.allclose(whole.share, apart.share) and set(whole.prints.tolist()) == set(apart.prints.tolist())
+    monkeypatch.setattr(R, "LEARNED", 1)
+    few = R.Seeds.fit(texts, learned)
+    assert (few.place == whole.place).all() and set(few.prints.tolist()) == set(whole.prints.tolist())
+    # lighter, but none is left out
+    assert ((few.share > 0) == (whole.share > 0)).all()
+
+
 def test_clean_documents_keep_their_columns(corpus, spark):
     df, clean, about = corpus
     more = df.selectExpr("*", "1 AS kind", "2 AS example", "3 AS n_pieces")
